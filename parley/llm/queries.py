@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
+from parley.llm.lm import lm_scores
 from parley.llm.ngram_join import ngram_components
 
 
@@ -14,8 +15,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
