@@ -12,11 +12,13 @@ Documents link when the Jaccard similarity of their shingle sets reaches `percen
    passages make no large groups unless a whole cell, about 7 to 10 shingles dealt over the whole text,
    is common.
 3. Per key with two or more classes, a pivot (the class with the largest share of keys that others
-   have too) is compared with the others: a group of near copies costs rows in proportion to its size. After joining
-   what links, keys that still hold several components get another pivot, then what is left
-   is compared pair by pair. Pairs already in one component need no comparison.
-4. A pair is tried on 512-bit bitmaps of the sets first: their differing bits bound the overlap from
-   above. Survivors are decided by intersecting the sorted hash arrays.
+   have too) is compared with the others: a group of near copies costs rows in proportion to its size. Pairs
+   that then are in one component need no more comparison. Of the keys that still hold several components, small
+   ones give their pairs as rows, and large ones are dealt into blocks of at most about BLOCK classes; a
+   task compares two blocks by their bitmaps and gives only the pairs that may link.
+4. A pair is tried on bitmaps of the sets first (4 bits or more for each element, folded to the smaller one's width):
+   their differing bits bound the overlap from above. Survivors are decided by intersecting the sorted hash arrays.
+   For those, texts are read again; a bitmap of the wanted ids, of bounded size, keeps most others out of the shuffle.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from parley.llm.common import materialize
 from parley.llm.graph import components
 
 U = np.uint64
-BITMAP_BITS = 512
-PIVOT_ROUNDS = 2
+LEAST_BITS, MOST_BITS = 64, 1 << 14
 SPARE_CELLS = 2
+SMALL_KEY = 16
+BLOCK = 1024
+WANTED_BITS = 1 << 28
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
@@ -78,11 +82,27 @@ def set_keys(u: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(u: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(u & U(BITMAP_BITS - 1)).astype(np.int64)] = 1
+    """A bit for each element's low hash bits, in a width that is a power of two of at least 4 bits an element, MOST_BITS at most."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(u & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def fold(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of uint64) folded to `width` words: an element's bit is at its low hash bits there too."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def may_link(na, nb, apart, percent: int):
+    """Whether sets of sizes na and nb that differ in `apart` elements or more can link."""
+    both = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
+    return 100 * both >= percent * (na + nb - both)
+
+
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
     raw, offsets = W.text_buffer(batch.column("text"))
@@ -138,30 +158,79 @@ def _bound(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, BITMAP_BITS // 64) for c in ("map_a", "map_b"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            both = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * (na + nb - both)))
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "map_a", "map_b")), strict=True):
+                p, q = np.frombuffer(x, U)[None], np.frombuffer(y, U)[None]
+                width = min(p.shape[1], q.shape[1])
+                keep.append(bool(may_link(na, nb, int(np.bitwise_count(fold(p, width) ^ fold(q, width)).sum()), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _tile(percent: int):
+    """Pairs of different components, from one block or from two blocks of a key, that may link by their bitmaps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy()
+        sizes, parts, ids = (group.column(c).to_numpy() for c in ("n_shingles", "component", "class_id"))
+        maps = [np.frombuffer(m, U) for m in group.column("bitmap").to_pylist()]
+        one, two = bool(group.column("one_block")[0].as_py()), np.flatnonzero(own == 1)
+        width = min(len(m) for m in maps)
+        folded = np.concatenate([fold(m[None], width) for m in maps])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for place, i in enumerate(np.flatnonzero(own == 0).tolist()):
+            other = np.flatnonzero(own == 0)[place + 1 :] if one else two
+            other = other[parts[other] != parts[i]]
+            apart = np.bitwise_count(folded[other] ^ folded[i]).sum(1, dtype=np.int64)
+            hit = other[may_link(sizes[i], sizes[other], apart, percent)]
+            a.append(np.minimum(ids[hit], ids[i]))
+            b.append(np.maximum(ids[hit], ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of pairs(a, b) of class ids."""
+def _wanted(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """docs(doc_id, text) without most of those that are not in reps(rep), by a bitmap of ids of at most WANTED_BITS bits."""
+    bits = min(WANTED_BITS, max(1 << 20, 1 << (16 * reps.count()).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = reps.select(spot("rep").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS INT))")).alias("mask")).toArrow()
+    mask = np.zeros(bits // 64, U)
+    mask[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(U)
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy().astype(U)
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[at >> U(6)] >> (at & U(63))) & U(1) == 1))
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", spot("doc_id").alias("at")).mapInArrow(run, "doc_id long, text string")
+
+
+def _links(near: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs near(a, b) of class ids, by their sorted arrays."""
+    ids = near.select(F.col("a").alias("class_id")).unionByName(near.select(F.col("b").alias("class_id"))).distinct()
+    chosen = materialize(classes.join(ids, "class_id").select("class_id", F.col("doc_id").alias("rep")), "wanted")
+    texts = _wanted(docs, chosen)
+    found = texts.join(chosen.hint("merge"), texts.doc_id == chosen.rep).select("class_id", "text")
+    sets = materialize(found.mapInArrow(_shingle_sets(n), "class_id long, shingles binary").dropDuplicates(["class_id"]), "shingle-sets")
+    first = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("set_a"))
+    second = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("set_b"))
+    return materialize(near.join(first, "a").join(second, "b").mapInArrow(_decide(percent), "a long, b long"), "class-links")
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that may link by their bitmaps."""
     one = classes.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bitmap").alias("map_a"))
     two = classes.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bitmap").alias("map_b"))
     sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = materialize(sized.mapInArrow(_bound(percent), "a long, b long"), "near-pairs")
-    wanted = near.select(F.col("a").alias("class_id")).unionByName(near.select(F.col("b").alias("class_id"))).distinct()
-    chosen = classes.join(wanted, "class_id").select("class_id", F.col("doc_id").alias("rep"))
-    texts = docs.join(chosen, docs.doc_id == chosen.rep).select("class_id", "text")
-    sets = materialize(texts.mapInArrow(_shingle_sets(n), "class_id long, shingles binary"), "shingle-sets")
-    first = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("set_a"))
-    second = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("set_b"))
-    return near.join(first, "a").join(second, "b").mapInArrow(_decide(percent), "a long, b long")
+    return sized.mapInArrow(_bound(percent), "a long, b long")
+
+
+def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
+    joined = components(links)
+    return classes.select("class_id").join(joined, classes.class_id == joined.id, "left").select("class_id", F.coalesce("component", "class_id").alias("component"))
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -184,29 +253,25 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     share = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"))
     wide = small.join(share, "class_id").select("doc_id", "class_id", "n_shingles", "bitmap", (F.col("shared") / F.size("keys")).alias("weight"))
     classes = materialize(wide.join(reps, ["class_id", "doc_id"]).select("class_id", "doc_id", "n_shingles", "bitmap", "weight").dropDuplicates(["class_id"]), "classes")
+    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     weighed = members.join(classes.select("class_id", "weight"), "class_id")
-    label = classes.select("class_id", F.col("class_id").alias("component"))
-    links = None
-    for step in range(PIVOT_ROUNDS + 1):
-        at = weighed.join(label, "class_id")
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "class_id", "component")).alias("pivot")).where("low <> high")
-        if step < PIVOT_ROUNDS:
-            met = at.join(mixed.select("key", "pivot"), "key").where("component <> pivot.component").select(F.col("pivot.class_id").alias("x"), F.col("class_id").alias("y"))
-        else:
-            open_rows = at.join(mixed.select("key"), "key").select("key", "class_id", "component")
-            other = open_rows.select("key", F.col("class_id").alias("y"), F.col("component").alias("other"))
-            met = open_rows.join(other, "key").where("component < other").select(F.col("class_id").alias("x"), "y")
-        pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        found = materialize(_links(pairs, classes, docs, n, percent), "links")
-        if found.isEmpty():
-            if step < PIVOT_ROUNDS:
-                continue
-            break
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        label = classes.select("class_id").join(joined, classes.class_id == joined.id, "left").select("class_id", F.coalesce("component", "class_id").alias("component"))
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "class_id")).alias("pivot")).select("key", F.col("pivot.class_id").alias("x"))
+    spokes = ordered(members.join(pivots, "key").where("class_id <> x").select("x", F.col("class_id").alias("y")))
+    links = _links(materialize(_near(spokes, classes, percent), "near-pairs"), classes, docs, n, percent)
+
+    at = members.join(_labels(links, classes), "class_id")
+    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    rest = materialize(at.join(mixed, "key").select("key", "size", "class_id", "component"), "open-keys")
+    small = rest.where(F.col("size") <= SMALL_KEY)
+    other = small.select("key", F.col("class_id").alias("y"), F.col("component").alias("other"))
+    apart = ordered(small.join(other, "key").where("component < other").select(F.col("class_id").alias("x"), "y"))
+    blocks = rest.where(F.col("size") > SMALL_KEY).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    dealt = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("class_id", "n_shingles", "bitmap"), "class_id")
+    tiles = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("own"), (F.col("block") == F.col("with")).alias("one_block"), "n_shingles", "component", "class_id", "bitmap")
+    tiled = tiles.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    near = materialize(_near(apart, classes, percent).unionByName(tiled).distinct(), "near-pairs")
+    label = _labels(materialize(links.unionByName(_links(near, classes, docs, n, percent)), "class-links"), classes)
     named = reps.join(label, "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("component"), F.col("doc_id").alias("rep"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = named.join(lowest, "component").select("class_id", "component_id")

@@ -63,3 +63,21 @@ def test_star_of_near_copies(spark):
         rows.append((i, " ".join(w)))
     got = sorted(map(tuple, ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows)
+
+
+def test_large_keys_in_blocks(spark, monkeypatch):
+    from parley.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SMALL_KEY", 4)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3, 5])):
+            w[k] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(map(tuple, ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 3
