@@ -12,6 +12,7 @@ from parley.llm.language_id import identify
 from parley.llm.lm import lm_scores
 from parley.llm.ngram_join import ngram_components
 from parley.llm.secret_scan import scan
+from parley.llm.toxicity import toxicity
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +35,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
