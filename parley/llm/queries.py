@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import table
 from parley.llm.decontaminate import contamination
+from parley.llm.embedding_dedup import near_duplicates
 from parley.llm.language_id import identify
 from parley.llm.lm import lm_scores
 from parley.llm.ngram_join import ngram_components
+from parley.llm.pieces import encode_table
 from parley.llm.secret_scan import scan
 from parley.llm.toxicity import toxicity
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_table(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
