@@ -14,6 +14,7 @@ from parley.llm.language_id import identify
 from parley.llm.lm import lm_scores
 from parley.llm.ngram_join import ngram_components
 from parley.llm.pieces import encode_table
+from parley.llm.pii import detect
 from parley.llm.secret_scan import scan
 from parley.llm.toxicity import toxicity
 
@@ -55,6 +56,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
