@@ -213,7 +213,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["word", "zeros", "ones"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, landmarks: int = 64, least_gain: float = 8.0) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, landmarks: int = 64, least_gain: float = 5.0) -> Machine:
     """docs(doc_id, text) and labels(doc_id, toxic) to learn from -> a machine. Rows without text, label or id teach nothing; of several labels the highest counts."""
     sample = _sample(docs.where("text IS NOT NULL"), labels, sample_rows)
     words = sample.mapInArrow(_count, "word string, zeros long, ones long").groupBy("word").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
