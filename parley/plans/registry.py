@@ -1,14 +1,650 @@
-"""Queries of the core engine and their SQL twins."""
+"""Queries of the core engine over the driver's tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parley.functions import expressions as X
+from parley.operators import evaluate as E
+from parley.operators import fuse, index, retrieve, segment, transcript
+from parley.plans import oracles as O
+from parley.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def keyword_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One-word queries: the longest word of each benchmark item, the first in order of equal ones."""
+    words = items(spark, sf).select("qid", F.explode(X.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("qid").agg(F.min_by("term", F.struct((-F.length("term")).alias("n"), "term")).alias("text"))
+
+
+def words_of(spark: SparkSession, sf: str) -> DataFrame:
+    return transcript.timed_words(table(spark, sf, "conversations"))
+
+
+def intervals_of(words: DataFrame) -> DataFrame:
+    """Diarization intervals: each turn, heard 0.3 s late."""
+    return words.groupBy("conv_id", "turn", "role").agg((F.min("start_s") + 0.3).alias("start"), (F.max("end_s") + 0.3).alias("end")).select("conv_id", F.col("turn").alias("place"), F.col("role").alias("speaker"), "start", "end")
+
+
+def turns_of(spark: SparkSession, sf: str) -> DataFrame:
+    return transcript.sessionize(words_of(spark, sf).withColumn("speaker", F.col("role")))
+
+
+def long_rank(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+# Retrieval
+
+
+@query(f"WITH {O.bm25_sql('(SELECT item_id AS qid, text FROM benchmark)')} {O.top('bm25', 50)}")
+def bm25_topk(spark, sf):
+    return long_rank(retrieve.ranked(retrieve.bm25(corpus(spark, sf), items(spark, sf)), 50))
+
+
+@query(f"WITH {O.bm25_sql('(SELECT item_id AS qid, text FROM benchmark)', scope=chr(108) + 'ang = ' + repr('en'))} {O.top('bm25', 50)}")
+def bm25_filtered(spark, sf):
+    docs = corpus(spark, sf)
+    return long_rank(retrieve.ranked(retrieve.bm25(docs, items(spark, sf), scope=docs.where("lang = 'en'")), 50))
+
+
+@query(f"WITH {O.KEYWORDS}, {O.bm25_sql('kw')} {O.top('bm25', 20)}")
+def bm25_keywords(spark, sf):
+    return long_rank(retrieve.ranked(retrieve.bm25(corpus(spark, sf), keyword_queries(spark, sf)), 20))
+
+
+@query()
+def bm25_stemmed(spark, sf):
+    return long_rank(retrieve.ranked(retrieve.bm25(corpus(spark, sf), items(spark, sf), tokenize=retrieve.stems), 20))
+
+
+@query(f"WITH {O.KEYWORDS}, {O.TRIGRAM} {O.top('trigram', 50)}")
+def trigram_jaccard_topk(spark, sf):
+    return long_rank(retrieve.ranked(retrieve.trigram_jaccard(corpus(spark, sf), keyword_queries(spark, sf)), 50))
+
+
+@query()
+def word_similarity_topk(spark, sf):
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return long_rank(retrieve.ranked(retrieve.word_similar(turns, keyword_queries(spark, sf)), 50))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50."""
+    return vectors(spark, sf).where("id % 50 = 0").withColumnRenamed("id", "qid")
+
+
+KNN = f"s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {O.COS.format('a.embedding', 'b.embedding')} AS score, a.label AS la, b.label AS lb FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
+
+
+@query(f"WITH {KNN} SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50")
+def cosine_topk(spark, sf):
+    return long_rank(retrieve.knn(vectors(spark, sf), vector_queries(spark, sf)))
+
+
+@query(f"WITH {KNN} SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE la = lb QUALIFY rank <= 10")
+def cosine_topk_by_label(spark, sf):
+    return long_rank(retrieve.knn(vectors(spark, sf), vector_queries(spark, sf), k=10, same_label=True))
+
+
+@query(f"""WITH {KNN}, h AS (SELECT qid, id AS sid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 50),
+ch AS (SELECT DISTINCT vec_id // 4 AS id FROM embeddings), mem AS (SELECT id, unnest(range(id * 4, id * 4 + 5)) AS sid FROM ch),
+b AS (SELECT qid, id, max(score) AS score FROM h JOIN mem USING (sid) GROUP BY qid, id) {O.top('b', 50)}""")
+def sentence_rollup_max(spark, sf):
+    """Vectors as sentences, five to a chunk with one shared: a chunk takes its best sentence's score."""
+    hits = retrieve.knn(vectors(spark, sf), vector_queries(spark, sf)).select("qid", F.col("id").alias("sentence_id"), "score")
+    chunks = vectors(spark, sf).select(F.floor(F.col("id") / 4).alias("id")).distinct().withColumn("sentence_ids", F.sequence(F.col("id") * 4, F.col("id") * 4 + 4))
+    return long_rank(retrieve.ranked(retrieve.roll_up(hits, chunks), 50))
+
+
+# Fusion
+
+
+def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    words, docs = keyword_queries(spark, sf), corpus(spark, sf)
+    asked = vectors(spark, sf).join(items(spark, sf).select(F.col("qid").alias("id")), "id", "left_semi").withColumnRenamed("id", "qid")
+    found = {"bm25": retrieve.ranked(retrieve.bm25(docs, words), 50), "trigram": retrieve.ranked(retrieve.trigram_jaccard(docs, words), 50), "dense": retrieve.knn(vectors(spark, sf), asked)}
+    lists = None
+    for name, df in found.items():
+        one = df.select(F.lit(name).alias("retriever"), "qid", "id", "score")
+        lists = one if lists is None else lists.unionByName(one)
+    ran = items(spark, sf).select("qid", F.explode(F.array(*[F.lit(n) for n in found])).alias("retriever"))
+    return lists, ran
+
+
+@query(f"{O.FUSION} SELECT qid, id, score, CASE WHEN w + m <= 0 THEN CASE WHEN meant THEN 'meaning' ELSE 'words' END WHEN least(w, m) / (w + m) >= 25e-2 THEN 'both' WHEN w > m THEN 'words' ELSE 'meaning' END AS matched_by, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 20")
+def hybrid_fusion(spark, sf):
+    return long_rank(retrieve.ranked(fuse.convex(fuse.contributions(*ranked_lists(spark, sf))), 20))
+
+
+@query(f"{O.FUSION} SELECT qid, retriever, id, part FROM parts")
+def fusion_contributions(spark, sf):
+    return fuse.contributions(*ranked_lists(spark, sf))
+
+
+# Transcript
+
+
+@query(f"WITH {O.WORDS} SELECT conv_id, pos, turn, role, word, start_s, end_s FROM words")
+def timed_words(spark, sf):
+    return words_of(spark, sf)
+
+
+@query(f"WITH {O.WORDS}, {O.TURNS} SELECT * FROM turns")
+def turn_sessionize(spark, sf):
+    return turns_of(spark, sf)
+
+
+@query(f"WITH {O.WORDS}, {O.INTERVALS}, {O.ASSIGNED} SELECT conv_id, pos, word, speaker FROM assigned")
+def word_speaker_assign(spark, sf):
+    words = words_of(spark, sf)
+    return transcript.assign_speakers(words, intervals_of(words)).select("conv_id", "pos", "word", "speaker")
+
+
+@query(f"""WITH {O.WORDS}, w2 AS (SELECT *, CASE WHEN word LIKE '%e' AND length(word) < 5 THEN 'other' ELSE role END AS speaker FROM words),
+n AS (SELECT *, lag(speaker) OVER o AS p, lead(speaker) OVER o AS x, start_s - lag(end_s) OVER o AS gp, lead(start_s) OVER o - end_s AS gx FROM w2 WINDOW o AS (PARTITION BY conv_id ORDER BY pos))
+SELECT conv_id, pos, word, CASE WHEN p = x AND speaker <> p AND NOT ({O.BACK.format('word')}) AND gp < 4e-1 AND gx < 4e-1 THEN p ELSE speaker END AS speaker FROM n""")
+def smooth_isolated(spark, sf):
+    """Short words that end in e are given to another speaker first, so that there is something to smooth."""
+    odd = F.when(F.col("word").endswith("e") & (F.length("word") < 5), "other").otherwise(F.col("role"))
+    return transcript.smooth_isolated(words_of(spark, sf).withColumn("speaker", odd)).select("conv_id", "pos", "word", "speaker")
+
+
+UNTIMED = f"""WITH {O.WORDS}, bd AS (SELECT conv_id, turn, min(start_s) AS bs, max(end_s) AS be FROM words GROUP BY conv_id, turn),
+u AS (SELECT conv_id, turn, pos, word, CASE WHEN length(word) >= 6 THEN NULL ELSE start_s END AS start_s, CASE WHEN length(word) >= 6 THEN NULL ELSE end_s END AS end_s FROM words),
+a AS (SELECT *, start_s IS NOT NULL AS timed, sum(CASE WHEN start_s IS NOT NULL THEN 1 ELSE 0 END) OVER o AS island, last_value(round(end_s, 3) IGNORE NULLS) OVER o AS pe, first_value(start_s IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ns FROM u WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
+b AS (SELECT a.*, coalesce(pe, bs) AS f, coalesce(ns, be) AS t, row_number() OVER (PARTITION BY a.conv_id, a.turn, island, timed ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY a.conv_id, a.turn, island, timed) AS n FROM a JOIN bd USING (conv_id, turn)),
+c AS (SELECT *, greatest(0e0, (t - f) / n) AS step FROM b),
+done AS (SELECT conv_id, turn, pos, word, round(round(CASE WHEN timed THEN start_s ELSE f + k * step END, 6), 3) AS start_s, round(round(CASE WHEN timed THEN end_s ELSE f + k * step + greatest(step, 5e-2) END, 6), 3) AS end_s, CASE WHEN timed THEN 'wav2vec2_aligned' ELSE 'interpolated_fallback' END AS timing_source FROM c)"""
+
+
+def interpolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of six letters and more lose their times first."""
+    words = words_of(spark, sf)
+    lost = F.length("word") >= 6
+    untimed = words.select("conv_id", "turn", "pos", "word", *[F.when(~lost, F.col(c)).alias(c) for c in ("start_s", "end_s")])
+    return transcript.interpolate(untimed, transcript.turn_bounds(words))
+
+
+@query(f"{UNTIMED} SELECT * FROM done")
+def interpolate_untimed(spark, sf):
+    return interpolated(spark, sf)
+
+
+@query(f"{UNTIMED} SELECT conv_id, count(*) AS total_words, count(*) FILTER (timing_source = 'interpolated_fallback') AS fallback_words, round(count(*) FILTER (timing_source = 'interpolated_fallback') / count(*), 4) AS fallback_rate FROM done GROUP BY conv_id")
+def alignment_telemetry(spark, sf):
+    return transcript.telemetry(interpolated(spark, sf))
+
+
+@query(f"WITH {O.WORDS}, {O.TURNS}, d AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations) SELECT d.conv_id, d.speaker, round(round(coalesce(s, 0e0), 3), 1) AS seconds FROM d LEFT JOIN (SELECT conv_id, speaker, sum(end_s - start_s) AS s FROM turns GROUP BY ALL) t ON t.conv_id = d.conv_id AND t.speaker = d.speaker")
+def speaking_time(spark, sf):
+    return transcript.speaking_time(turns_of(spark, sf), table(spark, sf, "conversations").select("conv_id", F.col("role").alias("speaker")).distinct())
+
+
+@query(f"WITH {O.WORDS}, {O.TURNS} SELECT conv_id, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS labels FROM turns GROUP BY conv_id")
+def speaker_labels(spark, sf):
+    return transcript.speaker_labels(turns_of(spark, sf))
+
+
+@query(f"""WITH {O.WORDS}, {O.TURNS}, tm AS (SELECT DISTINCT conv_id, end_s + 1e0 AS t FROM turns),
+j AS (SELECT tm.conv_id, tm.t, turn_id, start_s, end_s FROM tm LEFT JOIN turns USING (conv_id))
+SELECT conv_id, t, coalesce(min(turn_id) FILTER (start_s <= t AND t < end_s), max_by(turn_id, {{'s': start_s, 'i': turn_id}}) FILTER (start_s <= t), 0)::BIGINT AS turn_id FROM j GROUP BY conv_id, t""")
+def turn_at_time(spark, sf):
+    turns = turns_of(spark, sf)
+    return transcript.turn_at(turns.select("conv_id", (F.col("end_s") + 1.0).alias("t")).distinct(), turns)
+
+
+CLIPS = "cl AS (SELECT conv_id, turn_id AS clip_id, start_s + (end_s - start_s) / 2e0 AS cs, end_s + 5e0 AS ce, speaker AS csp FROM turns)"
+
+
+@query(f"""WITH {O.WORDS}, {O.TURNS}, {CLIPS},
+j AS (SELECT cl.conv_id, clip_id, turn_id, round(greatest(0e0, least(ce, end_s) - greatest(cs, start_s)), 6) AS ov, speaker = csp AS same FROM cl JOIN turns USING (conv_id))
+SELECT conv_id, clip_id, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, clip_id ORDER BY ov DESC, same DESC, turn_id) AS r FROM j) WHERE r = 1""")
+def clip_to_turn(spark, sf):
+    turns = turns_of(spark, sf)
+    clips = turns.select("conv_id", F.col("turn_id").alias("clip_id"), (F.col("start_s") + (F.col("end_s") - F.col("start_s")) / 2.0).alias("clip_start"), (F.col("end_s") + 5.0).alias("clip_end"), "speaker")
+    return transcript.clip_to_turn(clips, turns)
+
+
+@query(f"WITH {O.WORDS}, {O.TURNS} SELECT conv_id, turn_id, lag(turn_id) OVER o AS previous_turn, lead(turn_id) OVER o AS next_turn, lag(n_words) OVER o AS previous_words, lead(n_words) OVER o AS next_words FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn_id)")
+def context_window(spark, sf):
+    return transcript.context(turns_of(spark, sf))
+
+
+@query(f"""WITH {O.WORDS}, {O.TURNS}, l AS (SELECT conv_id, speaker, turn_id, round(end_s - start_s, 6) AS length, start_s, end_s FROM turns WHERE NOT is_short_turn AND round(end_s - start_s, 6) >= 1),
+s AS (SELECT *, least(floor(start_s / max(end_s) OVER (PARTITION BY conv_id) * 3), 2)::INT AS slot FROM l),
+a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY conv_id, speaker, slot ORDER BY length DESC, turn_id) > 1 THEN 1 ELSE 0 END AS later FROM s)
+SELECT conv_id, speaker, turn_id, slot, length FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY later, length DESC, turn_id) AS r FROM a) WHERE r <= 3""")
+def speaker_samples(spark, sf):
+    return transcript.speaker_samples(turns_of(spark, sf))
+
+
+@query(f"WITH {O.WORDS} SELECT conv_id, pos, word FROM words WHERE regexp_matches(lower(word), '\\p{{L}}') AND NOT regexp_matches(lower(word), '[abcdefghijklmnopqrstuvwxyz'']')")
+def wildcard_words(spark, sf):
+    return transcript.wildcard_words(words_of(spark, sf))
+
+
+@query(f"WITH {O.WORDS} SELECT conv_id, pos, word, printf('%d:%02d', (floor(start_s)::BIGINT // 60), floor(start_s)::BIGINT % 60) AS clock FROM words")
+def word_clock(spark, sf):
+    return words_of(spark, sf).select("conv_id", "pos", "word", X.mmss(F.col("start_s")).alias("clock"))
+
+
+# Sentences and windows
+
+
+@query(f"WITH {O.WORDS}, {O.SENT} SELECT * FROM sentences")
+def sentence_split_punct(spark, sf):
+    return segment.punctuation_sentences(words_of(spark, sf))
+
+
+@query()
+def sentence_split_full(spark, sf):
+    return segment.sentences(words_of(spark, sf))
+
+
+@query()
+def window_pack(spark, sf):
+    return segment.chunks(words_of(spark, sf))
+
+
+@query(f"WITH {O.WORDS}, {O.SENT} SELECT conv_id, turn, sentence, text FROM sentences WHERE len(string_split_regex(trim(text), '[ \\t\\n\\r]+')) >= 4")
+def min_words_filter(spark, sf):
+    return segment.punctuation_sentences(words_of(spark, sf)).where(X.min_words(F.col("text"), 4)).select("conv_id", "turn", "sentence", "text")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(s, '[\p{L}\p{N}_]+') THEN s ELSE text END AS query FROM (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(text, '(?i)\b(?:assistant|system|tool|user)(?:[''’]s)?\b', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS s FROM conversations)""")
+def speaker_name_strip(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", retrieve.strip_names(F.col("text"), ["User", "Assistant", "System", "Dr. Tool"]).alias("query"))
+
+
+# Localisation
+
+SIGNAL = f"sg AS (SELECT *, n_words::DOUBLE AS a, CASE WHEN sentence % 3 = 2 THEN NULL ELSE length(text)::DOUBLE / n_words END AS b FROM ({{0}}))"
+BLEND = """nm AS (SELECT *, min(a) OVER g AS al, max(a) OVER g AS ah, min(b) OVER g AS bl, max(b) OVER g AS bh FROM sg WINDOW g AS (PARTITION BY conv_id, turn)),
+bd AS (SELECT *, round(0e0 + CASE WHEN a IS NULL THEN 0e0 WHEN ah = al THEN CASE WHEN ah > 0 THEN 1e0 ELSE 0e0 END ELSE (a - al) / (ah - al) END * (2e0 / 3e0) + CASE WHEN b IS NULL THEN 0e0 WHEN bh = bl THEN CASE WHEN bh > 0 THEN 1e0 ELSE 0e0 END ELSE (b - bl) / (bh - bl) END * (1e0 / 3e0), 6) AS score FROM nm)"""
+
+
+def blended(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences with two signals, the second one missing for every third sentence, blended 2 to 1."""
+    s = segment.punctuation_sentences(words_of(spark, sf))
+    signals = s.withColumns({"dense": F.col("n_words").cast("double"), "keyword": F.when(F.col("sentence") % 3 != 2, F.length("text").cast("double") / F.col("n_words"))})
+    return signals.withColumn("score", fuse.blend(signals, ["conv_id", "turn"], {"dense": 2.0, "keyword": 1.0}))
+
+
+BLENDED = f"WITH {O.WORDS}, {O.SENT}, {SIGNAL.format('SELECT * FROM sentences')}, {BLEND}"
+
+
+@query(f"{BLENDED} SELECT conv_id, turn, sentence, score FROM bd")
+def signal_blend(spark, sf):
+    return blended(spark, sf).select("conv_id", "turn", "sentence", "score")
+
+
+def _growth(n: int, at: str) -> str:
+    return f"""c{n} AS (SELECT p.*, l.score AS ls, r.score AS rs, l.start_s AS lstart, r.end_s AS rend FROM {at} p LEFT JOIN bd l ON l.conv_id = p.conv_id AND l.turn = p.turn AND l.sentence = p.lo - 1 LEFT JOIN bd r ON r.conv_id = p.conv_id AND r.turn = p.turn AND r.sentence = p.hi + 1),
+d{n} AS (SELECT *, ls IS NOT NULL AND (rs IS NULL OR ls >= rs) AS tl FROM c{n}),
+e{n} AS (SELECT *, coalesce(go AND (ls IS NOT NULL OR rs IS NOT NULL) AND (CASE WHEN tl THEN e ELSE rend END) - (CASE WHEN tl THEN lstart ELSE s END) <= 20 AND (e - s < 2 OR (CASE WHEN tl THEN ls ELSE rs END) >= 8e-1 * top), false) AS ok FROM d{n}),
+p{n} AS (SELECT conv_id, turn, best, top, CASE WHEN ok AND tl THEN lo - 1 ELSE lo END AS lo, CASE WHEN ok AND NOT tl THEN hi + 1 ELSE hi END AS hi, CASE WHEN ok AND tl THEN lstart ELSE s END AS s, CASE WHEN ok AND NOT tl THEN rend ELSE e END AS e, ok AS go FROM e{n})"""
+
+
+@query(f"""{BLENDED}, p0 AS (SELECT conv_id, turn, sentence AS best, score AS top, sentence AS lo, sentence AS hi, start_s AS s, end_s AS e, true AS go FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, sentence) AS r FROM bd WHERE n_words >= 3) WHERE r = 1),
+{_growth(1, 'p0')}, {_growth(2, 'p1')} SELECT conv_id, turn, best, lo AS first, hi AS last, s AS start_s, e AS end_s FROM p2""")
+def span_growth(spark, sf):
+    s = blended(spark, sf).select("conv_id", "turn", F.col("sentence").alias("place"), "start_s", "end_s", "score", (F.col("n_words") >= 3).alias("eligible"))
+    return fuse.grow(s, ["conv_id", "turn"])
+
+
+@query(f"""WITH RECURSIVE {O.WORDS}, {O.SENT},
+cl AS (SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY n_words DESC, turn, sentence) AS rank, turn % 2 AS file, start_s, end_s + 2e0 AS end_s FROM sentences),
+lg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM cl WHERE round(end_s - start_s, 6) >= 3),
+f AS (SELECT qid, 1::BIGINT AS k, [{{'rank': rank, 'file': file, 's': start_s, 'e': end_s}}] AS kept FROM lg WHERE k = 1
+  UNION ALL SELECT f.qid, l.k, CASE WHEN len(list_filter(f.kept, lambda x: x.file = l.file AND l.start_s < x.e AND x.s < l.end_s)) > 0 THEN f.kept ELSE list_append(f.kept, {{'rank': l.rank, 'file': l.file, 's': l.start_s, 'e': l.end_s}}) END FROM f JOIN lg l ON l.qid = f.qid AND l.k = f.k + 1),
+z AS (SELECT qid, kept FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY k DESC) AS r FROM f) WHERE r = 1),
+u AS (SELECT qid, unnest(kept[1:5]) AS x, unnest(range(1, len(kept[1:5]) + 1)) AS new_rank FROM z)
+SELECT qid, new_rank, x.rank AS rank, x.file AS file, x.s AS start_s, x.e AS end_s FROM u""")
+def overlap_dedupe(spark, sf):
+    """Sentences as clips that run on for 2 s, the longest first, on two alternating files: the first five that don't overlap."""
+    s = segment.punctuation_sentences(words_of(spark, sf))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n_words"), "turn", "sentence"))
+    clips = s.select(F.col("conv_id").alias("qid"), rank.alias("rank"), (F.col("turn") % 2).alias("file"), "start_s", (F.col("end_s") + 2.0).alias("end_s"))
+    return fuse.without_overlaps(clips, 5, least=3.0)
+
+
+@query()
+def keyword_match(spark, sf):
+    """Each conversation's words against its longest word."""
+    words = words_of(spark, sf)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "start_s", "end_s"))), lambda w: F.struct(w["word"].alias("word"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s")))
+    per_turn = words.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("id")).agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("query"), listed.alias("words"))
+    return fuse.keyword_clips(per_turn)
+
+
+@query()
+def highlight(spark, sf):
+    s = segment.punctuation_sentences(words_of(spark, sf))
+    longest = F.element_at(F.array_sort(F.split("text", " "), lambda a, b: F.length(a) - F.length(b)), -1)
+    return s.select("conv_id", "turn", "sentence", fuse.marked("text", longest).alias("html"), fuse.cover_density("text", longest).alias("rank_cd"))
+
+
+# Evaluation
+
+RESULTS = """rs AS (SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY n_words DESC, turn, sentence) AS rank, start_s, end_s FROM sentences),
+mo AS (SELECT conv_id AS qid, turn AS moment, min(start_s) AS ms, max(end_s) AS me, any_value(role) AS role FROM words GROUP BY conv_id, turn),
+mt AS (SELECT m.qid, m.moment, m.role, r.rank, coalesce(end_s > start_s AND me > ms AND end_s - start_s <= 120 AND least(end_s, me) - greatest(start_s, ms) > 0 AND ((least(end_s, me) - greatest(start_s, ms)) / (greatest(end_s, me) - least(start_s, ms)) >= 3e-1 OR (abs(start_s - ms) <= 5 AND (least(end_s, me) - greatest(start_s, ms)) / (end_s - start_s) >= 25e-2)), false) AS hit FROM mo m LEFT JOIN rs r ON r.qid = m.qid AND r.rank <= 5),
+hits AS (SELECT qid, moment, any_value(role) AS role, min(rank) FILTER (hit) AS rank FROM mt GROUP BY qid, moment)"""
+EVALUATED = f"WITH {O.WORDS}, {O.SENT}, {RESULTS}"
+RECALLS = "rc AS (SELECT qid, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS recall_{k}" for k in (1, 3, 5)) + ", round(coalesce(1e0 / min(rank), 0e0), 6) AS mrr FROM hits WHERE role = 'assistant' GROUP BY qid)"
+
+
+def results_and_moments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A conversation's longest sentences as results for it, its turns as moments."""
+    words = words_of(spark, sf)
+    s = segment.punctuation_sentences(words)
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n_words"), "turn", "sentence")).cast("long")
+    results = s.select(F.col("conv_id").alias("qid"), F.col("conv_id").alias("file"), F.lit(None).cast("string").alias("speaker"), "start_s", "end_s", rank.alias("rank")).where("rank <= 5")
+    moments = words.groupBy("conv_id", "turn", "role").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select(F.col("conv_id").alias("qid"), F.col("turn").alias("moment"), F.col("conv_id").alias("file"), F.lit(None).cast("string").alias("speaker"), "start_s", "end_s", "role")
+    return results, moments
+
+
+@query(f"{EVALUATED} SELECT qid, moment, rank FROM hits")
+def iou_match(spark, sf):
+    return E.moment_hits(*results_and_moments(spark, sf))
+
+
+@query(f"{EVALUATED}, {RECALLS} SELECT * FROM rc")
+def recall_at_k(spark, sf):
+    results, moments = results_and_moments(spark, sf)
+    return E.recall(E.moment_hits(results, moments.where("role = 'assistant'")))
+
+
+@query(f"{EVALUATED}, {RECALLS} SELECT rc.qid, NOT EXISTS (SELECT 1 FROM mt WHERE mt.qid = rc.qid AND mt.rank = 1 AND mt.hit AND mt.role = 'user') AND recall_5 > 0 AS rejected FROM rc")
+def near_miss(spark, sf):
+    results, moments = results_and_moments(spark, sf)
+    recalls = E.recall(E.moment_hits(results, moments.where("role = 'assistant'")))
+    return E.near_miss(results, moments.where("role = 'user'").select("qid", "file", "start_s", "end_s"), recalls)
+
+
+RELEVANT = f"""rel AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+bq AS (SELECT item_id AS qid, text FROM benchmark)"""
+FOUND = f"""WITH {RELEVANT}, {O.bm25_sql('bq')}, tp AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 50),
+hits AS (SELECT rel.qid, rel.id AS moment, min(rank) AS rank FROM rel LEFT JOIN tp USING (qid, id) GROUP BY rel.qid, rel.id)"""
+
+
+def relevant_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an item word for word are its relevant ones; their BM25 ranks. Candidates are what BM25 shares a rare word with, so the text test runs on pairs that share the item's longest word."""
+    docs, asked = corpus(spark, sf), items(spark, sf)
+    keys = keyword_queries(spark, sf).withColumnRenamed("text", "term")
+    posted = docs.select("id", "text", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    pairs = posted.join(keys, "term").join(asked.select("qid", F.col("text").alias("item")), "qid").where(F.contains("text", "item"))
+    relevant = pairs.select("qid", F.col("id").alias("moment")).distinct()
+    found = retrieve.ranked(retrieve.bm25(docs, asked), 50).select("qid", F.col("id").alias("moment"), F.col("rank").cast("long").alias("rank"))
+    return relevant.join(found, ["qid", "moment"], "left")
+
+
+@query(f"{FOUND} SELECT qid, moment, rank FROM hits")
+def retrieval_hits(spark, sf):
+    return relevant_hits(spark, sf)
+
+
+@query(f"{FOUND} SELECT count(*) AS n_moments, " + ", ".join(f"round(count(*) FILTER (rank <= {k}) / count(*), 6) AS micro_{k}" for k in (1, 3, 5)) + " FROM hits")
+def micro_recall(spark, sf):
+    return E.micro(relevant_hits(spark, sf))
+
+
+@query(f"""{FOUND}, rq AS (SELECT qid, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS recall_{k}" for k in (1, 3, 5))}, round(coalesce(1e0 / min(rank), 0e0), 6) AS mrr FROM hits GROUP BY qid),
+ct AS (SELECT rq.*, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS category FROM rq JOIN bq USING (qid))
+SELECT category, count(*) AS n_queries, round(avg(recall_1), 6) AS recall_1, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, round(avg(mrr), 6) AS mrr FROM ct GROUP BY ROLLUP (category)""")
+def category_rollup(spark, sf):
+    kind = items(spark, sf).select("qid", F.when(F.length("text") < 200, "short").otherwise("long").alias("category"))
+    return E.macro(E.recall(relevant_hits(spark, sf)).join(kind, "qid"), ["category"])
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    per_query = relevant_hits(spark, sf).groupBy("qid").agg(F.count(F.lit(1)).alias("weight"), F.count_if(F.col("rank") <= 1).alias("f1"), F.count_if(F.col("rank") <= 5).alias("f5"))
+    measures = per_query.select("qid", "weight", F.explode(F.create_map(F.lit("recall_1"), "f1", F.lit("recall_5"), "f5")).alias("measure", "found"))
+    return E.bootstrap(measures)
+
+
+@query(f"WITH {O.WORDS}, {O.TURNS}, {O.INTERVALS} SELECT t.conv_id AS file, t.speaker, i.speaker AS other, round(sum(least(end_s, iend) - greatest(start_s, istart)), 3) AS seconds FROM turns t JOIN iv i ON t.conv_id = i.conv_id AND start_s < iend AND istart < end_s GROUP BY ALL")
+def interval_overlap_sum(spark, sf):
+    return E.overlap_matrix(*turn_tables(spark, sf))
+
+
+def turn_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    words = words_of(spark, sf)
+    turns = transcript.sessionize(words.withColumn("speaker", F.col("role"))).select(F.col("conv_id").alias("file"), "speaker", "start_s", "end_s")
+    return turns, intervals_of(words).select(F.col("conv_id").alias("file"), "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+@query()
+def speaker_mapping(spark, sf):
+    return E.speaker_mapping(E.overlap_matrix(*turn_tables(spark, sf)))
+
+
+@query()
+def diarization_error(spark, sf):
+    return E.diarization_error(*turn_tables(spark, sf))
+
+
+@query()
+def diarization_error_collar(spark, sf):
+    return E.diarization_error(*turn_tables(spark, sf), collar=0.25)
+
+
+def _turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    other = F.regexp_replace(F.lower("text"), r"\bth", "d")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("reference"), other.alias("hypothesis"))
+
+
+@query()
+def word_error_rate(spark, sf):
+    return E.word_errors(_turn_pairs(spark, sf))
+
+
+@query()
+def token_alignment(spark, sf):
+    return E.aligned(_turn_pairs(spark, sf))
+
+
+@query("""WITH j AS (SELECT event_type AS stage, ts, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL)
+SELECT stage, list_sort(list(value))[len(list(value)) // 2 + 1] AS seconds FROM j WHERE r <= 5 GROUP BY stage""")
+def upper_median_stage_cost(spark, sf):
+    costs = table(spark, sf, "events").where("value IS NOT NULL").select(F.col("event_type").alias("stage"), F.col("ts").alias("done_at"), F.col("event_id").alias("job"), F.col("value").alias("seconds"))
+    return E.upper_median(costs)
+
+
+@query("""SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS subset, count(*) AS n, round(avg(value), 4) AS mean_value, count(DISTINCT user_id) AS users FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def scorecard_means(spark, sf):
+    events = table(spark, sf, "events")
+    out = events.rollup("event_type").agg(F.grouping("event_type").alias("g"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.count_distinct("user_id").alias("users"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("event_type")).alias("subset"), "n", "mean_value", "users")
+
+
+# Index upkeep
+
+CURRENT = "cur AS (SELECT 'dataset' AS workspace, doc_id AS file_id, md5(coalesce(text, '')) AS sha, CASE WHEN lang = 'de' THEN 'new' ELSE 'old' END AS settings, source FROM documents), old AS (SELECT workspace, file_id, CASE WHEN source = 'src3' THEN 'x' ELSE sha END AS sha, 'old' AS settings FROM cur WHERE source <> 'src5')"
+
+
+def index_states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as recordings, and an index in which some are missing, stale or built with other settings."""
+    docs = table(spark, sf, "documents")
+    current = docs.select(F.lit("dataset").alias("workspace"), F.col("doc_id").alias("file_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("sha256"), F.when(F.col("lang") == "de", "new").otherwise("old").alias("settings"), "source")
+    old = current.where("source <> 'src5'").select("workspace", "file_id", F.when(F.col("source") == "src3", "x").otherwise(F.col("sha256")).alias("sha256"), F.lit("old").alias("settings"))
+    return current.drop("source"), old
+
+
+@query(f"WITH {CURRENT} SELECT * FROM (SELECT c.workspace, c.file_id, CASE WHEN o.sha IS NULL THEN 'new' WHEN c.sha <> o.sha THEN 'transcript' WHEN c.settings <> o.settings THEN 'settings' END AS reason FROM cur c LEFT JOIN old o USING (workspace, file_id)) WHERE reason IS NOT NULL")
+def change_detect(spark, sf):
+    return index.changed(*index_states(spark, sf))
+
+
+@query("SELECT doc_id AS id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.label < 5)")
+def incremental_antijoin(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    had = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "m").otherwise("other").alias("model"))
+    return index.missing(docs, had, "m")
+
+
+@query(f"WITH {CURRENT} SELECT workspace, file_id, sha AS sha256, settings FROM old WHERE file_id IN (SELECT doc_id FROM labels)")
+def prune(spark, sf):
+    present = table(spark, sf, "labels").select(F.lit("dataset").alias("workspace"), F.col("doc_id").alias("file_id"))
+    return index.pruned(index_states(spark, sf)[1], present)
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id AS file, role AS label, upper(role) AS name FROM conversations), n AS (SELECT file, label, name || ' ' || file AS name FROM s WHERE label = 'user')
+SELECT coalesce(s.file, n.file) AS file, coalesce(s.label, n.label) AS label, coalesce(n.name, s.name) AS name FROM s FULL JOIN n ON s.file = n.file AND s.label = n.label""")
+def label_sync(spark, sf):
+    speakers = table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("label"), F.upper("role").alias("name")).distinct()
+    new = speakers.where("label = 'user'").withColumn("name", F.concat_ws(" ", "name", F.col("file").cast("string")))
+    return index.synced_names(speakers, new)
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id AS file, role AS label, upper(role) AS name FROM conversations), p AS (SELECT file, count(*) AS n, min_by(name, label) AS f, max_by(name, label) AS l, min(label) AS lo FROM s GROUP BY file)
+SELECT s.file, label, CASE WHEN n = 2 THEN CASE WHEN label = lo THEN l ELSE f END ELSE name END AS name FROM s JOIN p USING (file)""")
+def label_swap(spark, sf):
+    return index.swapped(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("label"), F.upper("role").alias("name")).distinct())
+
+
+@query("""WITH s AS (SELECT turn AS label, conv_id AS file, trim(regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r]+', ' ', 'g')) AS name FROM conversations), t AS (SELECT file, lower(name) AS k, count(*) AS times FROM s GROUP BY ALL)
+SELECT s.file, s.label, s.name, CASE WHEN coalesce(length(name), 0) = 0 THEN 'empty' WHEN length(name) > 80 THEN 'long' WHEN times > 1 THEN 'repeated' END AS rule FROM s LEFT JOIN t ON t.file = s.file AND t.k = lower(s.name)""")
+def name_rules(spark, sf):
+    """Names as someone might paste them: the first 100 signs of each turn."""
+    return index.valid_names(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("label"), F.substring("text", 1, 100).alias("name")))
+
+
+SEGMENTS = "seg AS (SELECT label AS file, vec_id AS segment, CASE WHEN embedding[1] > 0 THEN 'S1' ELSE 'S2' END AS speaker, (vec_id % 10)::DOUBLE AS seconds, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i > 2 THEN x + 1e-1 ELSE x END) AS v FROM embeddings)"
+
+
+def voice_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as voices: two speakers by the sign of the first number, a shared shift that brings their centroids close, lengths of 0 to 9 s."""
+    e = table(spark, sf, "embeddings")
+    shifted = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when(i > 1, x + 0.1).otherwise(x))
+    return e.select(F.col("label").alias("file"), F.col("vec_id").alias("segment"), F.when(F.get("embedding", F.lit(0)) > 0, "S1").otherwise("S2").alias("speaker"), (F.col("vec_id") % 10).cast("double").alias("seconds"), shifted.alias("embedding"))
+
+
+def _cos(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+@query(f"""WITH {SEGMENTS}, lg AS (SELECT file, speaker, unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS x, unnest(range(1, len(v) + 1)) AS k FROM seg WHERE seconds >= 6),
+ce AS (SELECT file, speaker, list(x ORDER BY k) AS c FROM (SELECT file, speaker, k, avg(x) AS x FROM lg GROUP BY ALL) GROUP BY file, speaker),
+tw AS (SELECT a.file, a.c AS c1, b.c AS c2 FROM ce a JOIN ce b ON a.file = b.file AND a.speaker = 'S1' AND b.speaker = 'S2'),
+ok AS (SELECT * FROM tw WHERE {_cos('c1', 'c2')} > 35e-2),
+sc AS (SELECT seg.*, ok.file IS NOT NULL AS has, CASE WHEN speaker = 'S1' THEN {_cos('v', 'c2')} - {_cos('v', 'c1')} ELSE {_cos('v', 'c1')} - {_cos('v', 'c2')} END AS gain FROM seg LEFT JOIN ok USING (file)),
+fl AS (SELECT *, coalesce(has AND seconds BETWEEN 5e-1 AND 5 AND gain > 1e-1, false) AS flip FROM sc)
+SELECT file, segment, CASE WHEN flip THEN CASE WHEN speaker = 'S1' THEN 'S2' ELSE 'S1' END ELSE speaker END AS speaker, flip AS reassigned FROM fl""")
+def centroid_refine(spark, sf):
+    return index.centroid_refined(voice_segments(spark, sf))
+
+
+@query("WITH u AS (SELECT label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS ix FROM embeddings) SELECT label, ix::INT AS dim, round(avg(v::DOUBLE), 6) AS mean FROM u GROUP BY label, ix")
+def vector_mean(spark, sf):
+    spread = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
+    return spread.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+# Data rules, sets, sources
+
+SPLITS = "sq AS (SELECT 'dev' AS split, item_id AS qid, text FROM benchmark UNION ALL SELECT 'test', doc_id, text FROM documents)"
+
+
+@query(r"""WITH sq AS (SELECT 'dev' AS split, item_id AS qid, text FROM benchmark UNION ALL SELECT 'test', doc_id, text FROM documents),
+k AS (SELECT split, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N} \n\t]', '', 'g'), '[ \n\t]+', ' ', 'g')) AS key FROM sq)
+SELECT key, count(DISTINCT split) AS n_splits, count(*) AS n_queries FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT split) > 1""")
+def repeated_queries(spark, sf):
+    dev = items(spark, sf).select(F.lit("dev").alias("split"), "qid", "text")
+    return E.repeated(dev.unionByName(corpus(spark, sf).select(F.lit("test").alias("split"), F.col("id").alias("qid"), "text")))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' INTERSECT SELECT conv_id - 1 AS conv_id, turn FROM conversations WHERE role = 'user'")
+def shared_pairs(spark, sf):
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn").intersect(turns.select((F.col("conv_id") - 1).alias("conv_id"), "turn"))
+
+
+@query("""WITH t AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_id, epoch_us(ts) / 1e6 AS start_s, epoch_us(ts) / 1e6 + value AS end_s FROM events)
+SELECT * FROM (SELECT file, turn_id, CASE WHEN isnan(end_s) OR end_s <= start_s THEN 'duration' WHEN start_s < lag(end_s) OVER (PARTITION BY file ORDER BY turn_id) THEN 'overlap' END AS rule FROM t) WHERE rule IS NOT NULL""")
+def integrity_violations(spark, sf):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    turns = table(spark, sf, "events").select(F.col("user_id").alias("file"), number.alias("turn_id"), seconds.alias("start_s"), (seconds + F.col("value")).alias("end_s"))
+    return E.continuity(turns)
+
+
+@query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn + 1)")
+def missing_next_turn(spark, sf):
+    """Referential check: turns that no turn follows."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn")
+    return turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_anti")
+
+
+@query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def dedupe_exact_docs(spark, sf):
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape(spark, sf):
+    escaped = F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return table(spark, sf, "pages").select("page_id", escaped.alias("escaped"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), e AS (SELECT max(ts) AS now FROM events)
+SELECT user_id, round((epoch_us(now) - epoch_us(last)) / 1e6, 3) AS quiet_s, (epoch_us(now) - epoch_us(last)) / 1e6 > 60 AS stale FROM l, e""")
+def heartbeat_staleness(spark, sf):
+    """Each user's events as a worker's heartbeats: quiet for over 60 s at the last event of all means dead."""
+    events = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    now = F.broadcast(events.agg(F.max("us").alias("now")))
+    quiet = (F.col("now") - F.col("last")) / 1e6
+    return events.groupBy("user_id").agg(F.max("us").alias("last")).join(now).select("user_id", F.round(quiet, 3).alias("quiet_s"), (quiet > 60).alias("stale"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, event_id, value, CASE WHEN lag(ts) OVER o IS NULL OR ts - lag(ts) OVER o > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM m)
+SELECT user_id, session, count(*) AS n_events, round(sum(value), 4) AS total FROM n GROUP BY user_id, session""")
+def event_sessions(spark, sf):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
+    numbered = events.withColumn("new", F.when(gap.isNull() | (gap > 30 * 60 * 1_000_000), 1).otherwise(0)).withColumn("session", F.sum("new").over(order))
+    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props AS raw FROM events")
+def json_props_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("props").alias("raw"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search of keyword queries: BM25, trigrams and vectors, fused."""
+    return hybrid_fusion(spark, sf)
