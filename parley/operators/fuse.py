@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from parley.functions import expressions as X
 from parley.functions import text as T
@@ -90,11 +91,11 @@ def keyword_clips(clips: DataFrame) -> DataFrame:
     return clips.select("id", "query", "words").mapInArrow(run, "id long, matched array<long>, start_s double, end_s double")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def marked(text: str, query: str) -> str:
     return T.marked(text or "", query or "")
 
 
-@F.udf("double", useArrow=True)
+@F.udf(DoubleType(), useArrow=True)
 def cover_density(text: str, query: str) -> float:
     return T.cover_density(text or "", query or "")

@@ -9,6 +9,8 @@ from parley.functions import expressions as X
 
 PAUSE, SMOOTH_GAP, SHORT_TURN = 1.5, 0.4, 0.8
 BUCKET = 30.0
+# Makes halves of a millisecond round up whatever the last bits of a sum are.
+HALF = 1e-9
 
 
 def timed_words(turns: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def interpolate(words: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     start = F.when(F.col("timed"), F.col("start_s")).otherwise(F.col("from") + place * step)
     end = F.when(F.col("timed"), F.col("end_s")).otherwise(F.col("from") + place * step + F.greatest(step, F.lit(0.05)))
     source = F.when(F.col("timed"), "wav2vec2_aligned").otherwise("interpolated_fallback")
-    return w.select("conv_id", "turn", "pos", "word", F.round(F.round(start, 6), 3).alias("start_s"), F.round(F.round(end, 6), 3).alias("end_s"), source.alias("timing_source"))
+    return w.select("conv_id", "turn", "pos", "word", F.round(start + HALF, 3).alias("start_s"), F.round(end + HALF, 3).alias("end_s"), source.alias("timing_source"))
 
 
 def turn_bounds(words: DataFrame) -> DataFrame:

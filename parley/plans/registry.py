@@ -183,7 +183,7 @@ u AS (SELECT conv_id, turn, pos, word, CASE WHEN length(word) >= 6 THEN NULL ELS
 a AS (SELECT *, start_s IS NOT NULL AS timed, sum(CASE WHEN start_s IS NOT NULL THEN 1 ELSE 0 END) OVER o AS island, last_value(round(end_s, 3) IGNORE NULLS) OVER o AS pe, first_value(start_s IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ns FROM u WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
 b AS (SELECT a.*, coalesce(pe, bs) AS f, coalesce(ns, be) AS t, row_number() OVER (PARTITION BY a.conv_id, a.turn, island, timed ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY a.conv_id, a.turn, island, timed) AS n FROM a JOIN bd USING (conv_id, turn)),
 c AS (SELECT *, greatest(0e0, (t - f) / n) AS step FROM b),
-done AS (SELECT conv_id, turn, pos, word, round(round(CASE WHEN timed THEN start_s ELSE f + k * step END, 6), 3) AS start_s, round(round(CASE WHEN timed THEN end_s ELSE f + k * step + greatest(step, 5e-2) END, 6), 3) AS end_s, CASE WHEN timed THEN 'wav2vec2_aligned' ELSE 'interpolated_fallback' END AS timing_source FROM c)"""
+done AS (SELECT conv_id, turn, pos, word, round(CASE WHEN timed THEN start_s ELSE f + k * step END + 1e-9, 3) AS start_s, round(CASE WHEN timed THEN end_s ELSE f + k * step + greatest(step, 5e-2) END + 1e-9, 3) AS end_s, CASE WHEN timed THEN 'wav2vec2_aligned' ELSE 'interpolated_fallback' END AS timing_source FROM c)"""
 
 
 def interpolated(spark: SparkSession, sf: str) -> DataFrame:
