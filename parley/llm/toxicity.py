@@ -239,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, landmar
             x = kernel.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("toxic")], ["x", "toxic"])
 
-    rows = sample.mapInArrow(features, "x binary, toxic int").orderBy("x", "toxic").toArrow()
+    rows = sample.mapInArrow(features, "x binary, toxic int").toArrow().sort_by([("x", "ascending"), ("toxic", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, len(chosen))
     return Machine(Kernel(chosen), x, rows.column("toxic").to_numpy())
 
