@@ -11,11 +11,14 @@ Documents link when the Jaccard similarity of their shingle sets reaches `percen
    (tile, cell, content) keys bring the pair together. Nothing is lost by this (pigeonhole). Common
    passages make no large groups unless a whole cell, about 7 to 10 shingles dealt over the whole text,
    is common.
-3. Per key with two or more classes there is a pivot, the class with the largest share of keys that others
-   have too. Each class is compared with the best of its pivots: one pair for each class, however large the groups of near copies. Keys
-   that then still hold several components are open, and all their classes must be compared, but for pairs in one component. Open
-   keys with classes in common form a group; small groups give their pairs as rows, and large ones are dealt into
-   blocks of about BLOCK classes; a task compares two blocks by their bitmaps and gives only the pairs that may link.
+   Below CELLS_FROM percent cells would hold three shingles or fewer, so that common passages alone fill them. There, a tile's
+   keys are BANDS bands of MinHash values, as many rows in each as keep the chance that a pair at the threshold has no key in
+   common under MISS, one in ten million.
+3. Per key with two or more classes, a pivot (the class with the largest share of keys that others
+   have too) is compared with the others: a group of near copies costs rows in proportion to its size. Pairs
+   that then are in one component need no more comparison. Of the keys that still hold several components, small
+   ones give their pairs as rows, and large ones are dealt into blocks of at most about BLOCK classes; a
+   task compares two blocks by their bitmaps and gives only the pairs that may link.
 4. A pair is tried on bitmaps of the sets first (4 bits or more for each element, folded to the smaller one's width):
    their differing bits bound the overlap from above. Survivors are decided by intersecting the sorted hash arrays.
    For those, texts are read again; a bitmap of the wanted ids, of bounded size, keeps most others out of the shuffle.
@@ -37,7 +40,8 @@ from parley.llm.graph import components
 U = np.uint64
 LEAST_BITS, MOST_BITS = 64, 1 << 14
 SPARE_CELLS = 2
-SMALL_GROUP = 16
+CELLS_FROM, BANDS, MISS = 88, 32, 1e-7
+SMALL_KEY = 16
 BLOCK = 1024
 WANTED_BITS = 1 << 28
 
@@ -59,16 +63,47 @@ def cells_of(band: int, percent: int) -> int:
     return 2 * most * (100 - percent) // (100 + percent) + 1 + SPARE_CELLS
 
 
+def tiles_of(n: int, percent: int) -> tuple[int, ...]:
+    """The bands whose tiles a set of n elements joins: its own, and the next one if a set there can be linked with it."""
+    band = int(np.searchsorted(EDGES, n, "right")) - 1
+    return (band, band + 1) if 100 * n >= percent * int(EDGES[band + 1]) else (band,)
+
+
+def rows_of(percent: int) -> int:
+    """MinHash values in a band: the most with (1 - t ** rows) ** BANDS under MISS."""
+    return max(1, int(np.log(1 - MISS ** (1 / BANDS)) / np.log(percent / 100)))
+
+
+_random = np.random.Generator(np.random.PCG64(20240611))
+_TIMES = _random.integers(0, 1 << 63, 4096, dtype=np.uint64) * U(2) + U(1)
+_PLUS = _random.integers(0, 1 << 63, 4096, dtype=np.uint64)
+
+
+def band_keys(u: np.ndarray, percent: int) -> np.ndarray:
+    """The (tile, band, MinHash values) keys of a shingle set."""
+    rows = rows_of(percent)
+    least = np.full(BANDS * rows, np.iinfo(np.uint64).max, U)
+    for a in range(0, len(u), 256):
+        least = np.minimum(least, (u[a : a + 256, None] * _TIMES[: len(least)] + _PLUS[: len(least)]).min(0))
+    bands = np.zeros(BANDS, U)
+    for column in least.reshape(BANDS, rows).T:
+        bands = W.mix(bands ^ column) + U(0x9E3779B97F4A7C15)
+    return np.concatenate([W.mix(bands ^ W.mix((U(tile + 1) << U(40)) + np.arange(BANDS).astype(U))) for tile in tiles_of(len(u), percent)])
+
+
 def set_keys(u: np.ndarray, percent: int) -> np.ndarray:
+    """The keys by which a set meets those it may be linked with."""
+    return cell_keys(u, percent) if percent >= CELLS_FROM else band_keys(u, percent)
+
+
+def cell_keys(u: np.ndarray, percent: int) -> np.ndarray:
     """The (tile, cell, content) keys of a sorted shingle set.
 
     At least SPARE_CELLS + 1 cells of a linked pair agree, so up to SPARE_CELLS empty cells give no key;
     a set with more empty cells gives keys for them too.
     """
-    n = len(u)
-    band = int(np.searchsorted(EDGES, n, "right")) - 1
     mixed, out = W.mix(u), []
-    for tile in (band, band + 1) if 100 * n >= percent * int(EDGES[band + 1]) else (band,):
+    for tile in tiles_of(len(u), percent):
         cells = cells_of(tile, percent)
         cell = ((u >> U(32)) * U(cells) >> U(32)).astype(np.int64)
         # u is sorted, so the elements of a cell are neighbours
@@ -169,7 +204,7 @@ def _bound(percent: int):
 
 
 def _tile(percent: int):
-    """Pairs of different components, from one block or from two blocks of a group, that may link by their bitmaps."""
+    """Pairs of different components, from one block or from two blocks of a key, that may link by their bitmaps."""
 
     def run(group: pa.Table) -> pa.Table:
         own = group.column("own").to_numpy()
@@ -257,25 +292,20 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     weighed = members.join(classes.select("class_id", "weight"), "class_id")
-    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "class_id")).alias("pivot")).select("key", F.col("pivot.weight").alias("weight"), F.col("pivot.class_id").alias("x"))
-    best = members.join(pivots, "key").groupBy("class_id").agg(F.max(F.struct("weight", "x")).alias("best"))
-    spokes = ordered(best.where("class_id <> best.x").select(F.col("best.x").alias("x"), F.col("class_id").alias("y")))
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "class_id")).alias("pivot")).select("key", F.col("pivot.class_id").alias("x"))
+    spokes = ordered(members.join(pivots, "key").where("class_id <> x").select("x", F.col("class_id").alias("y")))
     links = _links(materialize(_near(spokes, classes, percent), "near-pairs"), classes, docs, n, percent)
 
     at = members.join(_labels(links, classes), "class_id")
-    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("first")).where("low <> high").select("key", "first")
-    rest = materialize(at.join(mixed, "key").select("class_id", "component", "first").distinct(), "open-classes")
-    whole = components(rest.select(F.col("class_id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "group")
-    grouped = rest.select("class_id", "component").distinct().join(whole, F.col("class_id") == F.col("id"))
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    open_ = materialize(grouped.join(sizes, "group").select("group", "size", "class_id", "component"), "open-groups")
-    small = open_.where(F.col("size") <= SMALL_GROUP)
-    other = small.select("group", F.col("class_id").alias("y"), F.col("component").alias("other"))
-    apart = ordered(small.join(other, "group").where("component < other").select(F.col("class_id").alias("x"), "y"))
-    blocks = open_.where(F.col("size") > SMALL_GROUP).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    dealt = blocks.join(classes.select("class_id", "n_shingles", "bitmap"), "class_id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("own"), (F.col("block") == F.col("with")).alias("one_block"), "n_shingles", "component", "class_id", "bitmap")
-    tiled = tiles.groupBy("group", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    rest = materialize(at.join(mixed, "key").select("key", "size", "class_id", "component"), "open-keys")
+    small = rest.where(F.col("size") <= SMALL_KEY)
+    other = small.select("key", F.col("class_id").alias("y"), F.col("component").alias("other"))
+    apart = ordered(small.join(other, "key").where("component < other").select(F.col("class_id").alias("x"), "y"))
+    blocks = rest.where(F.col("size") > SMALL_KEY).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    dealt = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("class_id", "n_shingles", "bitmap"), "class_id")
+    tiles = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("own"), (F.col("block") == F.col("with")).alias("one_block"), "n_shingles", "component", "class_id", "bitmap")
+    tiled = tiles.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
     near = materialize(_near(apart, classes, percent).unionByName(tiled).distinct(), "near-pairs")
     label = _labels(materialize(links.unionByName(_links(near, classes, docs, n, percent)), "class-links"), classes)
     named = reps.join(label, "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("component"), F.col("doc_id").alias("rep"))

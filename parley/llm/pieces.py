@@ -53,7 +53,8 @@ class Codec:
             self.bytes_of.append(bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(BLANK, " ").encode())
         order = sorted(self.ids.values(), key=lambda i: (-model[i][1], i))
         self.rank = dict(zip(order, range(len(order)), strict=True))
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.tails = {p[i:]: -1 for p in self.ids for i in range(len(p))}  # every end of a piece, with the id where it is one itself
+        self.tails.update(self.ids)
         self.longest = max(map(len, self.ids), default=1)
         self.edges: tuple[dict[int, list[tuple[str, int, int]]], dict[int, list[tuple[str, int, int]]]] = {}, {}
         self.pairs: dict[int, bool] = {}
@@ -118,22 +119,7 @@ class Codec:
         for part in parts:
             for at in range(0, len(part), 4096):
                 text += part[at : at + 4096]
-                for i in range(len(last), len(text) + 1):
-                    for n in range(1, min(i, self.longest) + 1):
-                        sub = text[i - n : i]
-                        if sub not in self.tails:
-                            if n == 1:
-                                last.append(-ord(sub) - 2)
-                                size.append(1)
-                            break
-                        piece = self.ids.get(sub)
-                        if piece is not None and self.compatible(last[i - n], piece):
-                            last.append(piece)
-                            size.append(n)
-                            break
-                    if len(last) <= i:  # a character that is only part of longer pieces
-                        last.append(-ord(text[i - 1]) - 2)
-                        size.append(1)
+                self.extend(text, last, size)
                 if len(text) >= wait:
                     done = self.common(size)
                     yield from self.walk(last, size, done)
@@ -142,6 +128,32 @@ class Codec:
                     wait = max(2 * self.longest, 2 * len(text))
         yield from self.walk(last, size, len(text))
 
+    def extend(self, text: str, last: list[int], size: list[int]) -> None:
+        """Backpointers for the rest of text. The pieces that end at a position are tried from the longest on, as most often it is the one."""
+        tails, longest, pairs = self.tails.get, self.longest, self.pairs
+        for i in range(len(last), len(text) + 1):
+            found, n = [], 1
+            while n <= i and n <= longest and (piece := tails(text[i - n : i])) is not None:
+                if piece >= 0:
+                    found.append((piece, n))
+                n += 1
+            for piece, n in reversed(found):
+                before = last[i - n]
+                known = pairs.get((before << 32) + piece)
+                if known if known is not None else self.compatible(before, piece):
+                    last.append(piece)
+                    size.append(n)
+                    break
+            else:  # a character that no piece holds, or that only stands in longer ones
+                last.append(-ord(text[i - 1]) - 2)
+                size.append(1)
+
+    def short(self, text: str) -> list[int]:
+        """Ids of a unit that is kept whole."""
+        last, size = [-1], [0]
+        self.extend(text, last, size)
+        return self.walk(last, size, len(text))
+
     def common(self, size: list[int]) -> int:
         """The last boundary that the paths to all positions of the window share."""
         n, counts = len(size) - 1, {}
@@ -167,7 +179,7 @@ class Codec:
         for unit in self.units.findall(BLANK + text.replace(" ", BLANK)):
             found = cache.get(unit)
             if found is None:
-                found = tuple(self.stream(iter((unit,))))
+                found = tuple(self.short(unit) if len(unit) <= LONG else self.stream(iter((unit,))))
                 if len(unit) <= LONG:
                     if len(cache) >= CACHE:
                         cache.clear()

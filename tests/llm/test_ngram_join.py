@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from parley.llm.ngram_join import ngram_components
 
 
@@ -43,11 +45,12 @@ def corpus(seed, docs):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_against_brute_force(spark, n, percent):
     rows = corpus(5, 260) + [(1000, None), (1001, ""), (1002, " \t"), (1003, "One\x0btwo"), (1004, "one two")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, component long")
-    got = sorted(map(tuple, ngram_components(df).collect()))
-    assert got == brute(rows)
+    got = sorted(map(tuple, ngram_components(df, n, percent).collect()))
+    assert got == brute(rows, n, percent)
 
 
 def test_empty_table(spark):
