@@ -126,8 +126,8 @@ class Kernel:
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = sorted({w for w in words if w not in self.cache})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 8_000):
+            part = new[a : a + 8_000]
             pure = [plain(w) for w in part]
             like = self._block(pure)
             any_ = like.any(1)
