@@ -129,22 +129,20 @@ class Codec:
         yield from self.walk(last, size, len(text))
 
     def extend(self, text: str, last: list[int], size: list[int]) -> None:
-        """Backpointers for the rest of text. The pieces that end at a position are tried from the longest on, as most often it is the one."""
+        """Backpointers for the rest of text: the first piece that ends at a position and is compatible with the one before it is the only one."""
         tails, longest, pairs = self.tails.get, self.longest, self.pairs
         for i in range(len(last), len(text) + 1):
-            found, n = [], 1
+            n = 1
             while n <= i and n <= longest and (piece := tails(text[i - n : i])) is not None:
                 if piece >= 0:
-                    found.append((piece, n))
+                    before = last[i - n]
+                    known = pairs.get((before << 32) + piece)
+                    if known if known is not None else self.compatible(before, piece):
+                        last.append(piece)
+                        size.append(n)
+                        break
                 n += 1
-            for piece, n in reversed(found):
-                before = last[i - n]
-                known = pairs.get((before << 32) + piece)
-                if known if known is not None else self.compatible(before, piece):
-                    last.append(piece)
-                    size.append(n)
-                    break
-            else:  # a character that no piece holds, or that only stands in longer ones
+            if len(last) == i:  # a character that no piece holds, or that only stands in longer ones
                 last.append(-ord(text[i - 1]) - 2)
                 size.append(1)
 
