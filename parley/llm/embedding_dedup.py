@@ -1,9 +1,12 @@
 """Near duplicates among embeddings of equal label: a forest of random-projection trees with overlapping splits.
 
 Equal vectors of a label are one class with a multiplicity, so a very common vector costs one row. Each tree splits by
-random directions at the median of a bounded sample (`sample_rows` vectors by hash; every vector is indexed); vectors whose
-projection lies between the SPILL quantiles go to both sides. Trees are deep enough to leave about LEAF classes of the most
-frequent label in a leaf. Classes that share a leaf and a label are compared exactly, in double precision. Leaves
+random directions at a quantile of a bounded sample (`sample_rows` vectors by hash; every vector is indexed); vectors whose
+projection is near it go to both sides: at least those between the SPILL quantiles, and at least as many as keep a pair at the
+threshold together unless its projected distance exceeds REACH standard deviations (such distances are normal, or bounded by the pair's own distance).
+Of TRIES directions and CUTS the one that leaves the fewest pairs is taken; a node that all leave with more than WHOLE of its rows on one side
+isn't split: a dense group stays in one leaf.
+Otherwise nodes are split until about LEAF classes of the most frequent label are in a leaf. Classes that share a leaf and a label are compared exactly, in double precision. Leaves
 with more than BLOCK classes are dealt into blocks that meet two by two, so no task holds more than two blocks and no
 pair is left out. A pair that meets in several leaves counts in the first only, which both sides know from their
 lists of leaves: links are counted in place, never listed, and each leaf gives one row for each class in it that has a link.
@@ -11,7 +14,7 @@ lists of leaves: links are counted in place, never listed, and each leaf gives o
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +27,37 @@ from parley.llm.graph import components
 LEAF, BLOCK = 256, 2048
 SPILL = 0.1
 FEWEST = 32
+REACH, WHOLE, TRIES, DEEPEST = 2.0, 0.8, 4, 40
+CUTS = 0.3, 0.4, 0.5, 0.6, 0.7
 
 
 class Tree:
     """Nodes in heap order: a direction and the two spill thresholds, or none where a leaf is."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    def __init__(self, sample: np.ndarray, labels: np.ndarray, leaf: float, least: float, seed: int):
+        """leaf: how many sampled rows of a label a leaf can have."""
         self.nodes: dict[int, tuple[np.ndarray, float, float]] = {}
         random = np.random.Generator(np.random.PCG64(seed))
+        near = sqrt(max(0.0, 2 - 2 * least)) * min(1.0, REACH / sqrt(max(1, sample.shape[1]))) / 2
         todo = [(1, np.arange(len(sample)), 0)]
         while todo:
             node, rows, level = todo.pop()
-            if level >= depth or len(rows) < FEWEST:
+            if level >= DEEPEST or len(rows) < FEWEST or np.bincount(labels[rows]).max() <= leaf:
                 continue
-            direction = random.standard_normal(sample.shape[1])
-            direction /= np.linalg.norm(direction)
-            p = sample[rows] @ direction
-            low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
-            self.nodes[node] = direction, float(low), float(high)
-            todo += [(2 * node, rows[p <= high], level + 1), (2 * node + 1, rows[p >= low], level + 1)]
+            best = None
+            for _ in range(TRIES):
+                direction = random.standard_normal(sample.shape[1])
+                direction /= np.linalg.norm(direction)
+                p = sample[rows] @ direction
+                for cut in CUTS:
+                    low, middle, high = np.quantile(p, [cut - SPILL, cut, cut + SPILL])
+                    low, high = min(low, middle - near), max(high, middle + near)
+                    left, right = int((p <= high).sum()), int((p >= low).sum())
+                    if max(left, right) <= WHOLE * len(rows) and (best is None or left**2 + right**2 < best[0]):
+                        best = left**2 + right**2, direction, float(low), float(high), rows[p <= high], rows[p >= low]
+            if best:
+                self.nodes[node] = best[1:4]
+                todo += [(2 * node, best[4], level + 1), (2 * node + 1, best[5], level + 1)]
 
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """The leaves that each row falls into."""
@@ -129,9 +144,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, sam
     share = min(1.0, sample_rows / max(1, total))
     forests: dict[int, list[Tree]] = {}
     for r in classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("most")).collect():
-        depth = max(0, ceil(log(max(1, r.most / LEAF)) / -log(0.5 + SPILL)))
         chosen = classes.where((F.col("dims") == r.dims) & (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / F.lit(float(1 << 63)) < share))
-        forests[r.dims] = [Tree(_matrix(chosen.orderBy("id").select("embedding").toArrow().column(0)) if depth else np.zeros((0, r.dims)), depth, seed + t) for t in range(trees if depth else 1)]
+        split = r.most > LEAF
+        sample = chosen.orderBy("id").select("embedding", "label").toArrow() if split else None
+        x, labels = (_matrix(sample.column(0)), np.unique(sample.column(1).to_numpy(), return_inverse=True)[1]) if split else (np.zeros((0, r.dims)), np.zeros(0, np.int64))
+        forests[r.dims] = [Tree(x.reshape(-1, r.dims), labels, LEAF * share, least, seed + t) for t in range(trees if split else 1)]
     sent = spark.sparkContext.broadcast(forests)
 
     def place(batches):

@@ -47,6 +47,22 @@ def test_against_brute_force(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) / len(want) > 0.98
 
 
+def test_large_dense_group_keeps_its_links():
+    r = np.random.default_rng(5)
+    n, dims = 6000, 64
+    x = r.standard_normal((n, dims))
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + r.standard_normal((n // 3, dims)) * np.sqrt((1 / 0.97 - 1) / dims)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= 0.93, 1)
+    met = np.zeros((n, n), bool)
+    for t in range(4):
+        leaves = E.Tree(x, np.zeros(n, np.int64), E.LEAF, 0.93, t).leaves(x)
+        for q in {q for v in leaves for q in v}:
+            at = np.array([i for i, v in enumerate(leaves) if q in v])
+            met[np.ix_(at, at)] = True
+    assert near.sum() > 10**6 and (met & near).sum() >= 0.999 * near.sum()
+
+
 def test_one_very_common_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(3000)] + [(5000, [1.0, 2.0, 3.1], 0), (5001, [1.0, 2.0, 3.0], 1)]
     got = {x.vec_id: x for x in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
