@@ -5,7 +5,8 @@ and bare literals and operators; pairs them from `name = literal`, `name: litera
 literal`, `<name>literal</name>` and `name("literal")`; joins literals by `+`; and keeps a table of constants,
 so `pw = BASE + "x"` marks the literal that BASE was given. A literal counts by the sensitivity of the name it
 reaches and by its own look; from THRESHOLD on it is a span, of kind assign, unless a base span covers it.
-Only texts that hold a stem of a sensitive name are lexed: others can't reach the threshold.
+Only texts that hold a stem of a sensitive name are lexed: others can't reach the threshold. Stems are sought among a text's
+ASCII letters and digits alone, as the parts of a name may have anything else between them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-BASE_STEMS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-NAME_STEMS = (*BASE_STEMS, b"api-key", b"api.key", b"pwd", b"passphrase", b"passcode", b"credential", b"auth", b"private", b"access", b"signing", b"encryption", b"master", b"bearer")
 STRONG = {"password", "passwd", "pwd", "passphrase", "passcode", "secret", "token", "credential", "credentials", "apikey", "bearer"}
 KEY_OWNERS = {"api", "private", "access", "secret", "signing", "encryption", "master", "auth"}
+NAME_STEMS = tuple(sorted({s.encode() for s in (*STRONG, "pass", "auth", *(f"{o}key" for o in KEY_OWNERS))}))
 ABOUT = {"type", "name", "field", "length", "len", "count", "url", "uri", "path", "file", "id", "hint", "prompt", "label", "size", "limit", "ttl", "expiry", "expires", "policy", "regex", "pattern", "header", "index"}
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|your.*|my.*|change.?me|example.*|sample.*|dummy.*|test.*|placeholder.*|none|null|true|false|undefined|redacted.*|todo.*|password\d{0,3}|secret\d{0,3}|token\d{0,3})$", re.IGNORECASE)
 THRESHOLD = 4
@@ -151,6 +151,8 @@ def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
+_NAME_BYTE = np.zeros(256, bool)
+_NAME_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 
@@ -161,14 +163,15 @@ def suspects(column: pa.Array) -> Iterator[int]:
     for a, b in W.chunks(offsets):
         low, cut = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         data = low.tobytes()
-        lower, at = data.lower(), set()
-        for where, stems in ((lower, NAME_STEMS), (data, (b"AKIA",))):
+        named, at = _NAME_BYTE[low], set()
+        packed = np.concatenate([[0], np.cumsum(named)])[cut]
+        for where, ends, stems in ((low[named].tobytes().lower(), packed, NAME_STEMS), (data, cut, (b"AKIA",))):
             for stem in stems:
                 p = where.find(stem)
                 while p >= 0:
-                    row = int(np.searchsorted(cut, p, "right")) - 1
+                    row = int(np.searchsorted(ends, p, "right")) - 1
                     at.add(row)
-                    p = where.find(stem, int(cut[row + 1]))
+                    p = where.find(stem, int(ends[row + 1]))
         hexed = np.concatenate([[False], _HEX_BYTE[low], [False]])
         edges = np.flatnonzero(hexed[1:] != hexed[:-1])
         for p in edges[0::2][(edges[1::2] - edges[0::2]) >= 16].tolist():

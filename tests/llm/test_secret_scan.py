@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from parley.llm import secret_scan as S
 
 
@@ -42,6 +44,17 @@ def test_lexing():
     assert lexed("The secret: nobody knows it. Don't pass the token: it matters") == []
 
 
+def test_every_sensitive_name_is_lexed():
+    words = sorted({*S.STRONG, "pass", "auth"})
+    names = [*words, *(w[:i] + mark + w[i:] for w in words for i in range(1, len(w)) for mark in ("_", "-", ".", "__", "$", " ")), *(w[:i] + w[i:].title() for w in words for i in range(1, len(w)))]
+    names += [f"{o}{mark}key" for o in S.KEY_OWNERS for mark in ("_", "-", ".", "__", "$")] + ["DB_PASS", "smtpPass", "pass_word", "passPhrase", "API_KEY", "compass", "key"]
+    texts = [f'x {n} = "Xk29fjq0Lm7"' for n in names]
+    seen = [{*S.suspects(pa.array([t]))} == {0} for t in texts]
+    sensitive = [S.sensitivity(n) > 0 for n in names]
+    assert sum(sensitive) > 300 and not [n for n, s, k in zip(names, seen, sensitive, strict=True) if k and not s]
+    assert [n for n in S.suspects(pa.array(["clean", 'DB_PASS = "Xk29fjq0Lm7"', None, "", "t", "oken"]))][0] == 1
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, 'a token = "0123456789abcdef01" b', 31, "s"), (2, "clean", 5, None), (3, None, None, "s")], "doc_id long, text string, n_chars long, source string")
     got = S.redact(docs).collect()
