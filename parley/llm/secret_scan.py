@@ -174,8 +174,10 @@ def suspects(column: pa.Array) -> Iterator[int]:
                     p = where.find(stem, int(ends[row + 1]))
         hexed = np.concatenate([[False], _HEX_BYTE[low], [False]])
         edges = np.flatnonzero(hexed[1:] != hexed[:-1])
-        for p in edges[0::2][(edges[1::2] - edges[0::2]) >= 16].tolist():
-            at.add(int(np.searchsorted(cut, p, "right")) - 1)
+        long = (edges[1::2] - edges[0::2]) >= 16
+        # texts lie end to end: a run can reach over several rows, each of which is looked at
+        for p, q in zip(edges[0::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
+            at.update(range(int(np.searchsorted(cut, p, "right")) - 1, int(np.searchsorted(cut, q - 1, "right"))))
         yield from (a + i for i in sorted(at))
 
 

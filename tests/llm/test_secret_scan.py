@@ -55,6 +55,13 @@ def test_every_sensitive_name_is_lexed():
     assert [n for n in S.suspects(pa.array(["clean", 'DB_PASS = "Xk29fjq0Lm7"', None, "", "t", "oken"]))][0] == 1
 
 
+def test_hashes_in_adjacent_rows(spark):
+    texts = ["0123456789abcdef", "fedcba9876543210", "see", "0123456789abcdef00", "", None, "ends in beef", "00112233445566778899 x"]
+    assert {0, 1, 3, 7} <= {*S.suspects(pa.array(texts))}
+    got = {x.doc_id: x.n_hex for x in S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {i: len(re.findall("[0-9a-f]{16,}", t or "")) for i, t in enumerate(texts)}
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, 'a token = "0123456789abcdef01" b', 31, "s"), (2, "clean", 5, None), (3, None, None, "s")], "doc_id long, text string, n_chars long, source string")
     got = S.redact(docs).collect()
