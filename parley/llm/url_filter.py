@@ -5,7 +5,7 @@ that could list it: its host and the host's parents, and the host with each lead
 key, keeping those valid when the capture was fetched (from inclusive, to exclusive). The most specific key decides, the longest one;
 of equal ones a block wins.
 
-The intervals are broadcast when there are at most BROADCAST_ROWS of them (keys are at most KEY_LENGTH long, so that is a proven bound); beyond, captures
+The intervals are broadcast when there are at most BROADCAST_ROWS of them, with keys of at most BROADCAST_BYTES together; beyond, captures
 and intervals are shuffled by key, where adaptive execution splits a common key.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-KEY_LENGTH = 512
+BROADCAST_BYTES = 32 << 20
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
@@ -23,10 +23,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     """entries(key, action, dated), action being block, allow or remove -> key, action, valid_from, valid_to.
 
     The last entry of a date counts (in the order remove, block, allow: later ones win); an entry is valid until the key's next one, the last one for
-    good (valid_to null). Entries with a null or empty field, other actions or a key over KEY_LENGTH are left out.
+    good (valid_to null). Entries with a null or empty field or other actions are left out.
     """
     order = F.array_position(F.array(F.lit("remove"), F.lit("block"), F.lit("allow")), F.col("action"))
-    known = entries.select(F.lower("key").alias("key"), "action", "dated").where((F.length("key").between(1, KEY_LENGTH)) & (order > 0) & F.col("dated").isNotNull())
+    known = entries.select(F.lower("key").alias("key"), "action", "dated").where((F.length("key") > 0) & (order > 0) & F.col("dated").isNotNull())
     daily = known.groupBy("key", "dated").agg(F.max_by("action", order).alias("action"))
     until = F.lead("dated").over(Window.partitionBy("key").orderBy("dated"))
     return daily.select("key", "action", F.col("dated").alias("valid_from"), until.alias("valid_to")).where("action <> 'remove'")
@@ -40,7 +40,7 @@ def keys_of(url: Column) -> Column:
     steps = F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda s: s != "")
     paths = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(steps, F.lit(1), i), "/")))))
     every = F.concat(parents, F.coalesce(paths, F.array().cast("array<string>")))
-    return F.when(host != "", F.filter(every, lambda k: F.length(k) <= KEY_LENGTH))
+    return F.when(host != "", every)
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     lists = intervals(entries)
     rows = captures.select("page_id", "url", "fetched_on").distinct()
     asked = rows.select("*", F.explode_outer(keys_of(F.col("url"))).alias("asked"))
-    few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    n, size = lists.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     held = F.broadcast(lists) if few else lists
     active = (F.col("asked") == F.col("key")) & (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
     best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("length"), (F.col("action") == "block").alias("block"), F.col("key").alias("key"))))

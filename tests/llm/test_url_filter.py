@@ -23,6 +23,16 @@ def test_as_of(spark):
     assert all(got[k] == (0, None, False) for k in ((5, D(2024, 1, 1)), (6, D(2024, 1, 1)), (7, None)))
 
 
+def test_long_keys(spark, monkeypatch):
+    long = f"track.net/{'s' * 3000}"
+    captures = [(1, f"http://track.net/{'S' * 3000}/a", D(2024, 2, 1)), (2, f"http://track.net/{'s' * 2999}", D(2024, 2, 1))]
+    entries = [(long, "block", D(2024, 1, 1)), ("track.net", "allow", D(2024, 1, 1))]
+    want = {(1, D(2024, 2, 1)): (2, long, True), (2, D(2024, 2, 1)): (1, "track.net", False)}
+    assert run(spark, captures, entries) == want
+    monkeypatch.setattr(U, "BROADCAST_BYTES", 2000)
+    assert run(spark, captures, entries) == want
+
+
 def test_without_broadcast(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     first = U.evaluate(U.captures_of(pages), U.dated_list(pages)).collect()
