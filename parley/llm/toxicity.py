@@ -3,12 +3,13 @@
 The kernel compares words by their subsequences of three characters (word ends count as characters)
 that span at most five, each weighted by DECAY for every character it skips, normalised and raised to POWER.
 So an insult with a character put in, or with gaps, still resembles its plain form; besides, a word is also taken
-without its punctuation, and a run of single characters is also taken as one word.
+without its punctuation, if two letters are left, and a run of single characters is also taken as one word.
 A text's similarity to a landmark is that of its most similar word; whole texts are read.
 
 Learning: of the labelled rows, at most about `sample_rows` (by hash of the id, half of them of each label where there are
 enough) are used. Their words are counted by label; the words most associated with label 1 (by a log-likelihood
-gain of at least `least_gain`), unlike each other, become the `landmarks`. Nystrom's map turns similarities to landmarks into features, a linear support vector machine (squared hinge,
+gain of at least `least_gain`), unlike each other, become the `landmarks`. All their letters count, in any number of scripts: subsequences
+are looked up in a table, or by bisection where there are more than DIRECT letters. Nystrom's map turns similarities to landmarks into features, a linear support vector machine (squared hinge,
 Newton steps) is fitted on the driver on sample_rows x landmarks numbers, and a logistic fit makes scores of margins.
 """
 
@@ -30,6 +31,7 @@ ENDS = "\x02", "\x03"
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\W){3,}[^\W\d_](?!\S)")
 MARKS = re.compile(r"[\W\d_]+")
 CACHE = 1 << 20
+DIRECT = 160
 
 
 def plain(word: str) -> str:
@@ -55,7 +57,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def units(words: set[str]) -> set[str]:
-    return {p for w in words if len(p := plain(w)) > 2}
+    return {p for w in words if len(p := plain(w)) > 1}
 
 
 class Kernel:
@@ -63,10 +65,10 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        letters = sorted({c for w in landmarks for c in w})
-        counts = sorted(letters, key=lambda c: (-sum(w.count(c) for w in landmarks), c))[:61]
-        self.ids = np.zeros(0x110000, np.uint8)
-        self.ids[[ord(c) for c in (*ENDS, *counts)]] = np.arange(1, len(counts) + 3)
+        letters = sorted({c for w in landmarks for c in w} - {*ENDS})
+        self.ids = np.zeros(0x110000, np.int32)
+        self.ids[[ord(c) for c in (*ENDS, *letters)]] = np.arange(1, len(letters) + 3)
+        self.base = len(letters) + 3
         self.cache: dict[str, np.ndarray | None] = {}
         grams: dict[int, dict[int, float]] = {}
         for j, w in enumerate(landmarks):
@@ -74,10 +76,12 @@ class Kernel:
             keep = code > 0
             for c, x in zip(code[keep].tolist(), weight[keep].tolist(), strict=True):
                 grams.setdefault(c, {})[j] = grams.get(c, {}).get(j, 0.0) + x
-        self.index = np.full(1 << 18, -1, np.int32)
+        self.codes = np.array(sorted(grams), np.int64)
+        self.index = np.full(self.base**3 if self.base <= DIRECT else 0, -1, np.int32)
         self.table = np.zeros((len(grams), len(landmarks)), np.float32)
         for u, (c, row) in enumerate(sorted(grams.items())):
-            self.index[c] = u
+            if len(self.index):
+                self.index[c] = u
             for j, x in row.items():
                 self.table[u, j] = x
         self.norms = np.maximum(1e-9, np.sqrt((self.table.astype(float) ** 2).sum(0)))
@@ -86,7 +90,7 @@ class Kernel:
         """(word, code, weight) of every subsequence; the code of one with a letter that no landmark has is below 0."""
         joined = "".join(f"{ENDS[0]}{w}{ENDS[1]}" for w in words)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ids = self.ids[points].astype(np.int32)
+        ids = self.ids[points].astype(np.int32 if self.base <= DIRECT else np.int64)
         lengths = np.array([len(w) + 2 for w in words])
         owner, n = np.repeat(np.arange(len(words)), lengths), len(points)
         out = []
@@ -95,16 +99,23 @@ class Kernel:
                 continue
             same = owner[: n - c] == owner[c:]
             x, y, z = ids[a : n - c + a][same], ids[b : n - c + b][same], ids[c:][same]
-            code = (x << 12) + (y << 6) + z
+            code = (x * self.base + y) * self.base + z
             code[(x == 0) | (y == 0) | (z == 0)] = -1
             out.append((owner[: n - c][same], code, np.full(len(code), weight, np.float32)))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
+    def _rows(self, code: np.ndarray) -> np.ndarray:
+        """The table's row of each code, -1 for codes of no landmark."""
+        if len(self.index) or not len(self.codes):
+            return self.index[code] if len(self.index) else np.full(len(code), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, at, -1)
+
     def _block(self, words: list[str]) -> np.ndarray:
         owner, code, weight = self._codes(words)
-        row = np.where(code > 0, self.index[np.maximum(code, 0)], -1)
+        row = np.where(code > 0, self._rows(np.maximum(code, 0)), -1)
         hit = np.flatnonzero(row >= 0)
         square = np.bincount(owner, weight**2, len(words))
         # no landmark is nearer than the part of a word's norm that lies in subsequences of landmarks (0.8: equal ones double up)
@@ -132,7 +143,7 @@ class Kernel:
             like = self._block(pure)
             any_ = like.any(1)
             for w, p, x, yes in zip(part, pure, like, any_, strict=True):
-                self.cache[w] = x**POWER if yes and len(p) > 2 else None
+                self.cache[w] = x**POWER if yes and len(p) > 1 else None
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Each text's greatest similarity to each landmark."""

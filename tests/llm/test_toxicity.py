@@ -47,6 +47,19 @@ def test_kernel_against_brute_force():
             assert np.isclose(x, want**T.POWER if want >= T.LEAST else 0.0, atol=2e-3), (w, landmark)
 
 
+def test_kernel_in_many_scripts():
+    scripts = [(0x61, 26), (0x430, 32), (0x3B1, 24), (0x4E00, 300)]
+    landmarks = [*("".join(chr(start + (7 * k + i) % n) for i in range(6)) for start, n in scripts for k in range(n // 6)), "笨蛋"]
+    for names in (landmarks[:5] + landmarks[-1:], landmarks[:13], landmarks):
+        k = T.Kernel(names)
+        got = k.features([*names, "zqzq"])
+        assert np.allclose(np.diag(got), 1, atol=2e-3) and (k.norms > 0.1).all() and not got[-1].any()
+        for w, row in zip(names[:20], got, strict=False):
+            want = np.array([brute_kernel(w, x) for x in names])
+            assert np.allclose(row, np.where(want >= T.LEAST, want**T.POWER, 0.0), atol=2e-3)
+    assert T.units({"笨蛋", "a", "1b"}) == {"笨蛋"}
+
+
 def test_held_out_and_gaps(spark):
     docs, labels = rows_of(7, 500)
     docs += [(9000, None), (9001, ""), (9002, "ka buf-foon to"), (9003, "ka w r e t c h mi"), (9004, "ka verxmin"), (9005, "KA VERMIN")]
