@@ -42,3 +42,16 @@ def test_nothing_to_learn(spark):
 def test_narrow_margin_is_rejected():
     judge = L.Judge({"aa": (b"ka ti mo ren " * 50, 0.5), "bb": (b"ka ti mo ren " * 50, 0.5)}, 2048, 0.01)
     assert judge.judge("ka ti")[0] == "aa" and judge.judge("ka ti")[2]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(8)
+    langs = {f"l{k:02}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(r.choices(words, k=30)), lang) for k, (lang, words) in enumerate(langs.items()) for i in range(8)]
+    docs = spark.createDataFrame([*rows, (90_000, None, None)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in L.identify(docs).collect()}
+    assert len(got) == len(rows) + 1 and got[90_000].lang_pred == "und"
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    monkeypatch.setattr(L, "LANGUAGES", 1000)
+    once = {x.doc_id: x for x in L.identify(docs).collect()}
+    assert all((x.lang_pred, x.rejected) == (got[i].lang_pred, got[i].rejected) and abs(x.score - got[i].score) < 1e-9 for i, x in once.items())
