@@ -4,10 +4,10 @@ Training tokens are counted over all training rows. The `vocabulary` most freque
 the others share an unknown token, within which a word keeps its share of the unigram distribution.
 Counts of adjacent token pairs go into a Bloom filter by their logarithm: a pair whose count has level q is
 inserted as (pair, 1) ... (pair, q), so a reader finds q by asking for levels 1, 2, ... until the filter denies one.
-The filter has `bits_per_token` bits for each training token, rounded to a power of two, and at most
-`max_filter_bits`: that is the proven size of what is broadcast (32 MB by default, and 1 MB of vocabulary).
-A block of the filter with less than MIN_BITS bits for each entry keeps the higher levels' pairs and leaves the
-lowest to the unigram share, so the error rate doesn't rise with the corpus.
+Every counted pair goes in: each block of the filter has MIN_BITS bits for each of its entries, rounded up to a power of two, so
+the error rate doesn't rise with the corpus. Blocks are broadcast in parts of at most `max_filter_bits` (32 MB by
+default; a single block may be larger, and there is 1 MB of vocabulary). The first part is asked while words are counted; for each further one there is a pass over
+the texts' word numbers, and a text's score is the sum over the parts.
 
 Counts of words outside the vocabulary are never broadcast: they join by word hash.
 """
@@ -15,6 +15,7 @@ Counts of words outside the vocabulary are never broadcast: they join by word ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -51,32 +52,28 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.where(levels == 1, 1.0, (low + high) / 2), 0.0)
 
 
-def _spots(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _spots(keys: np.ndarray, level: int, probe: int, mask: np.ndarray | np.uint64) -> np.ndarray:
     shift = (level * 0x9E3779B97F4A7C15 + (probe + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF
-    return W.mix(keys + U(shift)) & U(bits - 1)
+    return W.mix(keys + U(shift)) & mask
 
 
 def build_block(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """One block of the filter: bits set for each pair and each level up to its own."""
     levels = level_of(counts)
-    least = 1
-    while len(levels) and levels.sum() * MIN_BITS > bits:
-        least += 1
-        keep = levels >= least
-        keys, levels = keys[keep], levels[keep]
     block = np.zeros(bits, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         there = keys[levels >= level]
         for probe in range(PROBES):
-            block[_spots(there, level, probe, bits)] = 1
+            block[_spots(there, level, probe, U(bits - 1))] = 1
     return np.packbits(block, bitorder="little").tobytes()
 
 
 class Model:
-    """What workers need: the vocabulary with counts, totals, and the filter."""
+    """What workers need: the vocabulary with counts, totals, and the filter or a part of it."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int, pairs: np.ndarray, bits: int):
-        self.keys, self.counts, self.total, self.distinct, self.docs, self.filter, self.bits = keys, counts, total, distinct, docs, pairs, bits
+        self.keys, self.counts, self.total, self.distinct, self.docs, self.filter = keys, counts, total, distinct, docs, pairs
+        self.starts, self.masks = np.arange(BLOCKS) * bits, np.full(BLOCKS, bits - 1).astype(U)
         self.unknown, self.start = len(keys), len(keys) + 1
         size = 1 << max(4, (4 * len(keys)).bit_length())
         self.slots, self.mask = np.full(size, -1, np.int32), U(size - 1)
@@ -90,6 +87,16 @@ class Model:
         self.prior = np.concatenate([(counts + 1) / share, [self.rest]])
         self.context = np.concatenate([counts, [max(0, total - int(counts.sum()))], [docs]]).astype(float)
 
+    def part(self, blocks: dict[int, bytes]) -> Model:
+        """The model with these blocks of the filter only; pairs of other blocks add nothing to its scores."""
+        out = copy(self)
+        out.starts, out.masks, at = np.full(BLOCKS, -1), np.zeros(BLOCKS, U), 0
+        for b, data in sorted(blocks.items()):
+            out.starts[b], out.masks[b] = at, 8 * len(data) - 1
+            at += 8 * len(data)
+        out.filter = np.frombuffer(b"".join(blocks[b] for b in sorted(blocks)), np.uint8)
+        return out
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary numbers; the unknown token's where there is none."""
         out = np.full(len(h), self.unknown, np.int64)
@@ -114,22 +121,26 @@ class Model:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels that the filter holds, by repeated membership probes."""
         out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        base = (keys >> U(56)) * U(self.bits)
+        block = (keys >> U(56)).astype(np.int64)
+        base, masks = self.starts[block].astype(U), self.masks[block]
         while len(alive) and level < 64:
             there = alive
             for probe in range(PROBES):
-                spot = base[there] + _spots(keys[there], level, probe, self.bits)
+                spot = base[there] + _spots(keys[there], level, probe, masks[there])
                 there = there[(self.filter[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1 == 1]
             out[there] = level
             alive, level = there, level + 1
         return out
 
     def log_probability(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it, the unknown token taken as one word."""
+        """log10 of each token's probability after the one before it, the unknown token taken as one word; 0 where another part has the pair."""
         keys, before = self.pair_keys(numbers, first)
+        mine = self.starts[(keys >> U(56)).astype(np.int64)] >= 0
+        keys, before, out = keys[mine], before[mine], np.zeros(len(keys))
         unique, where = np.unique(keys, return_inverse=True)
         seen = np.minimum(count_of(self.levels(unique))[where], self.context[before])
-        return np.log10(np.minimum(1.0, (seen + PRIOR * self.prior[numbers]) / (self.context[before] + PRIOR)))
+        out[mine] = np.log10(np.minimum(1.0, (seen + PRIOR * self.prior[numbers[mine]]) / (self.context[before] + PRIOR)))
+        return out
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +179,8 @@ def _counted(keys_of):
     return run
 
 
-def train(docs: DataFrame, vocabulary: int = 65_536, bits_per_token: int = 2, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, Model]:
-    """docs(text) -> counts(key, n) of all tokens by hash, and the model. Null texts count as empty ones."""
+def train(docs: DataFrame, vocabulary: int = 65_536, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, Model, DataFrame, list[list[int]]]:
+    """docs(text) -> counts(key, n) of all tokens by hash, the model without filter, the filter's blocks and which of them make a part. Null texts count as empty ones."""
     spark = docs.sparkSession
     docs = docs.select("text")
     raw_counts = docs.mapInArrow(_counted(lambda raw, offsets: tokens(raw, offsets)[0]), "key long, n long")
@@ -178,8 +189,7 @@ def train(docs: DataFrame, vocabulary: int = 65_536, bits_per_token: int = 2, ma
     top = counts.orderBy(F.desc("n"), "key").limit(vocabulary).toArrow()
     keys, found = top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy().astype(np.int64)
     ends = int(found[keys == END].sum())
-    bits = max(4096, min(max_filter_bits, 1 << int(bits_per_token * total).bit_length()) // BLOCKS)
-    words_only = Model(keys, found, total, distinct, ends, np.zeros(0, np.uint8), bits)
+    words_only = Model(keys, found, total, distinct, ends, np.zeros(0, np.uint8), 4096).part({})
     sent = spark.sparkContext.broadcast(words_only)
 
     def pairs(raw, offsets):
@@ -188,33 +198,47 @@ def train(docs: DataFrame, vocabulary: int = 65_536, bits_per_token: int = 2, ma
 
     def block(group: pa.Table) -> pa.Table:
         k, n = group.column("key").to_numpy().view(U), group.column("n").to_numpy()
+        bits = max(4096, 1 << int(MIN_BITS * level_of(n).sum() - 1).bit_length())
         return pa.table({"block": group.column("block")[:1], "bits": pa.array([build_block(k, n, bits)], pa.binary())})
 
     seen = docs.mapInArrow(_counted(pairs), "key long, n long").withColumn("block", F.shiftrightunsigned("key", 56).cast("int"))
     merged = seen.groupBy("block", "key").agg(F.sum("n").alias("n"))
-    filled = np.zeros(BLOCKS * bits // 8, np.uint8)
-    for row in merged.groupBy("block").applyInArrow(block, "block int, bits binary").collect():
-        filled[row.block * bits // 8 : (row.block + 1) * bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return counts, Model(keys, found, total, distinct, ends, filled, bits)
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    blocks = materialize(merged.groupBy("block").applyInArrow(block, "block int, bits binary"), "filter")
+    parts, room = [[]], max_filter_bits // 8
+    for b, size in sorted(blocks.select("block", F.length("bits")).collect()):
+        if parts[-1] and size > room:
+            parts.append([])
+            room = max_filter_bits // 8
+        parts[-1].append(b)
+        room -= size
+    return counts, words_only, blocks, parts
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, parts: list[list[int]]) -> DataFrame:
     """docs(doc_id, held_out, text) -> one row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the sum of log10((c + 1) / (N + V + 1)) over the tokens, score the model's log10
     probability. Null and empty texts have one token, the end. Repeated and null doc_ids keep their rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark, several = docs.sparkSession, len(parts) > 1
+
+    def broadcast(part: list[int]):
+        return spark.sparkContext.broadcast(model.part({r.block: bytes(r.bits) for r in blocks.where(F.col("block").isin(part)).collect()}))
+
+    sent = broadcast(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
-            rare, times, cut = [], [], [0]
+            rare, times, cut, every, ends = [], [], [0], [], [0]
             raw, offsets = W.text_buffer(batch.column("text"))
             for a, b in W.chunks(offsets):
                 h, first = tokens(raw, offsets[a : b + 1])
                 numbers = m.numbers(h)
+                if several:
+                    every.append(numbers.astype(np.int32))
+                    ends += (ends[-1] + first[1:]).tolist()
                 known = numbers < m.unknown
                 base = np.where(known, m.log_base[np.minimum(numbers, m.unknown - 1)], 0.0) if m.unknown else np.zeros(len(h))
                 logs = m.log_probability(numbers, first) - np.where(known, 0.0, np.log10(m.rest))
@@ -226,10 +250,34 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             n = batch.num_rows
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
             items = pa.StructArray.from_arrays([join([k.view(np.int64) for k in rare], pa.int64()), join(times, pa.int64())], ["key", "times"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), batch.column("doc_id"), batch.column("held_out"), *(join(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=False)), pa.ListArray.from_arrays(np.array(cut, np.int32), items)], ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_score", "model_score", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), batch.column("doc_id"), batch.column("held_out"), *(join(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=False)), pa.ListArray.from_arrays(np.array(cut, np.int32), items), pa.ListArray.from_arrays(np.array(ends if several else [0] * (n + 1), np.int32), join(every, pa.int32()))], ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_score", "model_score", "rare", "numbers"])
             number += n
 
-    rows = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, model_score double, rare array<struct<key:long,times:long>>"), "scored")
+    rows = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, model_score double, rare array<struct<key:long,times:long>>, numbers array<int>"), "scored")
+
+    def further(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column, sums = batch.column("numbers"), [np.zeros(0)]
+                offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+                for a in range(0, batch.num_rows, 256):
+                    at = offsets[a : a + 257].astype(np.int64)
+                    logs = sent.value.log_probability(values[at[0] : at[-1]].astype(np.int64), at - at[0])
+                    sums.append(np.add.reduceat(logs, at[:-1] - at[0]))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(sums))], ["row", "more"])
+
+        return run
+
+    added = None
+    for part in parts[1:]:
+        sent = broadcast(part)
+        one = materialize(rows.select("row", "numbers").mapInArrow(further(sent), "row long, more double"), "scored-part")
+        added = one if added is None else added.unionByName(one)
+        sent.destroy()
+    rows = rows.drop("numbers")
+    if added is not None:
+        more = added.groupBy("row").agg(F.sum("more").alias("more"))
+        rows = rows.join(more, "row").withColumn("model_score", F.col("model_score") + F.col("more")).drop("more")
     rare = rows.select("row", F.inline("rare"))
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
     tails = rare.join(counts, "key", "left").select("row", "times", (F.col("times") * log).alias("part"), F.when(F.col("n") > 0, F.col("times")).alias("known"))
@@ -241,5 +289,4 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFrame:
     """docs(doc_id, text): learns from rows whose crc32(doc_id) mod folds is not held (a null doc_id learns), scores all."""
     marked = docs.select("doc_id", "text", F.coalesce(fold(docs.doc_id, folds) == held, F.lit(False)).alias("held_out"))
-    counts, model = train(marked.where("NOT held_out"), **options)
-    return score(marked, counts, model)
+    return score(marked, *train(marked.where("NOT held_out"), **options))

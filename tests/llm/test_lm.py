@@ -45,6 +45,23 @@ def test_filter_holds_every_level():
     assert (m.levels(W.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) == 0).mean() > 0.98
 
 
+def test_every_pair_is_kept():
+    keys = W.mix(np.arange(3000, dtype=np.uint64))
+    keys = keys[keys >> np.uint64(56) == 0][:8]
+    keys = np.concatenate([keys, W.mix(np.arange(10**6, 10**6 + 3000, dtype=np.uint64)) >> np.uint64(8)])
+    part = lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0, 0, np.zeros(0, np.uint8), 4096).part({0: lm.build_block(keys, np.ones(len(keys)), 1 << 14)})
+    assert (part.levels(keys) >= 1).all()
+
+
+def test_parts_of_the_filter_add_up(spark):
+    rows = rows_of(6, 300) + [(8000 + i, f"rare{i} once{i} v1") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in lm.lm_scores(df).collect()}
+    parts = {r.doc_id: r for r in lm.lm_scores(df, max_filter_bits=1 << 18).collect()}
+    assert len(whole) == len(parts) == len(rows)
+    assert all(math.isclose(whole[i].score, r.score, rel_tol=1e-9) and whole[i].base_score == r.base_score for i, r in parts.items())
+
+
 def test_context_helps(spark):
     rows = [(i, "a b " * 20 if i % 2 else "b c d " * 15) for i in range(200)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
