@@ -1,21 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training tokens are counted over all training rows. The `vocabulary` most frequent tokens have numbers;
-the others share an unknown token, within which a word keeps its share of the unigram distribution.
-Counts of adjacent token pairs go into a Bloom filter by their logarithm: a pair whose count has level q is
-inserted as (pair, 1) ... (pair, q), so a reader finds q by asking for levels 1, 2, ... until the filter denies one.
-Every counted pair goes in: each block of the filter has MIN_BITS bits for each of its entries, rounded up to a power of two, so
-the error rate doesn't rise with the corpus. Blocks are broadcast in parts of at most `max_filter_bits` (32 MB by
-default; a single block may be larger, and there is 1 MB of vocabulary). The first part is asked while words are counted; for each further one there is a pass over
-the texts' word numbers, and a text's score is the sum over the parts.
-
-Counts of words outside the vocabulary are never broadcast: they join by word hash.
+Training tokens are counted over all training rows. The `head` most frequent tokens have numbers of their own. The others
+fall into buckets by hash, about four words in each (at most MOST_BUCKETS buckets: a larger vocabulary shares them more), within which
+a word keeps its exact share of the bucket's count: P(w | v) = P(bucket | v) * (c(w) + 1) / (the bucket's mass). So pairs of any words count, and what the corpus says
+of a rare word isn't dropped.
+
+Counts of adjacent pairs of numbers go into a Bloom filter by their logarithm: a pair whose count has level q is inserted as (pair, 1) ... (pair, q), and a reader finds q by
+asking for levels 1, 2, ... until the filter denies one. Level 1 sets HASHES bits in each of two 64-bit words of its block, a further level in one word. Every counted pair goes in;
+a block has as many words as its entries need (ROOM), and the number of blocks grows with the tokens, about BLOCK_TOKENS in each.
+
+P(number | v) = (count + PRIOR * P(number)) / (S(v) + PRIOR + false), where S(v) is the sum of v's counts as the filter tells them, taken when it
+is built, and `false` what the filter's false positives add up to over all numbers, by its measured fill. So the probabilities of a context sum to one, whatever
+the quantisation, but for the context's own luck with false positives (level 1: about 2 in 100,000 pairs).
+
+The filter is broadcast in parts of at most `max_filter_bits` (32 MB by default; besides, there are the numbers' counts, of bounded size). The first part is asked while words are
+counted; each of up to MOST_PASSES - 1 further ones takes a pass over the texts' numbers, a text's score being the sum over the parts. A larger filter is asked by a
+shuffle: each text's pairs meet their block, and a block that many pairs ask for is held by several tasks.
+Counts of words outside the head are never broadcast: they join by word hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import copy
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +37,13 @@ from parley.llm.common import fold, materialize
 U = np.uint64
 END = W.mix(np.array([0x656E64], U))[0]
 BASE = 1.6
-BLOCKS = 256
-PROBES = 4
-MIN_BITS = 6
+HASHES, ROOM = 8, 0.6
 PRIOR = 8.0
+MOST_BUCKETS = 1 << 20
+BLOCK_TOKENS = 1 << 22
+MOST_PASSES = 8
 FLUSH = 1 << 21
+EMPTY = bytes(8)
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,55 +62,83 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.where(levels == 1, 1.0, (low + high) / 2), 0.0)
 
 
-def _spots(keys: np.ndarray, level: int, probe: int, mask: np.ndarray | np.uint64) -> np.ndarray:
-    shift = (level * 0x9E3779B97F4A7C15 + (probe + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF
-    return W.mix(keys + U(shift)) & mask
+def _spot(keys: np.ndarray, level: int, word: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(word's place in a block of `size` words, its bits) of an entry."""
+    h = W.mix(keys * U(0x9E3779B97F4A7C15) + U((level * 0xD1B54A32D192ED03 + word * 0xA24BAED4963EE407) & 0xFFFFFFFFFFFFFFFF))
+    bits = np.zeros(len(h), U)
+    for i in range(HASHES):
+        bits |= U(1) << ((h >> U(6 * i)) & U(63))
+    return (W.mix(h) >> U(32)) * size >> U(32), bits
 
 
-def build_block(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """One block of the filter: bits set for each pair and each level up to its own."""
+def build_block(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One block of the filter: every pair with each level up to its own."""
     levels = level_of(counts)
-    block = np.zeros(bits, np.uint8)
+    block = np.zeros(max(1, ceil((len(levels) + levels.sum()) * HASHES / (64 * ROOM))), U)
     for level in range(1, int(levels.max(initial=0)) + 1):
         there = keys[levels >= level]
-        for probe in range(PROBES):
-            block[_spots(there, level, probe, U(bits - 1))] = 1
-    return np.packbits(block, bitorder="little").tobytes()
+        for word in (0, 1) if level == 1 else (0,):
+            np.bitwise_or.at(block, *_spot(there, level, word, U(len(block))))
+    return block
+
+
+def held(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of pairs by repeated membership probes of their blocks, which begin at `at` and have `sizes` words."""
+    out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(alive) and level < 64:
+        for word in (0, 1) if level == 1 else (0,):
+            spot, bits = _spot(keys[alive], level, word, sizes[alive])
+            alive = alive[(words[at[alive] + spot.astype(np.int64)] & bits) == bits]
+        out[alive] = level
+        level += 1
+    return out
+
+
+def false_rate(block: np.ndarray) -> float:
+    """How often the filter says yes to level 1 of a pair that isn't there, by the fill of the block's words."""
+    return float(np.mean((np.bitwise_count(block) / 64.0) ** HASHES) ** 2)
+
+
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((W.mix(keys ^ U(0x5851F42D4C957F2D)) >> U(32)) * U(blocks) >> U(32)).astype(np.int64)
 
 
 class Model:
-    """What workers need: the vocabulary with counts, totals, and the filter or a part of it."""
+    """What workers need: the numbers with their counts, sums over contexts, totals, and the filter or a part of it."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int, pairs: np.ndarray, bits: int):
-        self.keys, self.counts, self.total, self.distinct, self.docs, self.filter = keys, counts, total, distinct, docs, pairs
-        self.starts, self.masks = np.arange(BLOCKS) * bits, np.full(BLOCKS, bits - 1).astype(U)
-        self.unknown, self.start = len(keys), len(keys) + 1
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, masses: np.ndarray, total: int, distinct: int, blocks: int):
+        """keys, counts: the head; masses: the sum of count + 1 over each bucket's words, and one for all unseen words there."""
+        self.keys, self.total, self.distinct, self.blocks = keys, total, distinct, blocks
+        self.head, self.buckets = len(keys), len(masses)
+        self.start = self.head + self.buckets
         size = 1 << max(4, (4 * len(keys)).bit_length())
         self.slots, self.mask = np.full(size, -1, np.int32), U(size - 1)
         for number, at in enumerate((keys & self.mask).astype(np.int64).tolist()):
             while self.slots[at] >= 0:
                 at = (at + 1) % size
             self.slots[at] = number
-        share = total + distinct + 1.0
-        self.log_base = np.log10((counts + 1) / share)
-        self.rest = max(1e-12, 1.0 - float(((counts + 1) / share).sum()))
-        self.prior = np.concatenate([(counts + 1) / share, [self.rest]])
-        self.context = np.concatenate([counts, [max(0, total - int(counts.sum()))], [docs]]).astype(float)
+        self.log_share = np.log10(total + distinct + 1.0)
+        self.log_count, self.log_mass = np.log10(counts + 1.0), np.log10(masses)
+        mass = np.concatenate([counts + 1.0, masses])
+        self.prior = mass / max(1.0, mass.sum())
+        self.sums, self.false = np.zeros(self.start + 1), 0.0
+        self.filter, self.at, self.sizes = np.zeros(0, U), np.full(blocks, -1, np.int64), np.zeros(blocks, U)
 
     def part(self, blocks: dict[int, bytes]) -> Model:
         """The model with these blocks of the filter only; pairs of other blocks add nothing to its scores."""
         out = copy(self)
-        out.starts, out.masks, at = np.full(BLOCKS, -1), np.zeros(BLOCKS, U), 0
-        for b, data in sorted(blocks.items()):
-            out.starts[b], out.masks[b] = at, 8 * len(data) - 1
-            at += 8 * len(data)
-        out.filter = np.frombuffer(b"".join(blocks[b] for b in sorted(blocks)), np.uint8)
+        data = {b: np.frombuffer(x, U) for b, x in sorted(blocks.items())}
+        out.filter = np.concatenate([np.zeros(0, U), *data.values()])
+        out.at, out.sizes, at = np.full(self.blocks, -1, np.int64), np.zeros(self.blocks, U), 0
+        for b, x in data.items():
+            out.at[b], out.sizes[b] = at, len(x)
+            at += len(x)
         return out
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Vocabulary numbers; the unknown token's where there is none."""
-        out = np.full(len(h), self.unknown, np.int64)
-        if not len(self.keys):
+        """Numbers of the head's words, and of the buckets of others."""
+        out = self.head + ((h >> U(20)) & U(self.buckets - 1)).astype(np.int64)
+        if not self.head:
             return out
         open_, at = np.arange(len(h)), h & self.mask
         while len(open_):
@@ -112,35 +150,30 @@ class Model:
             open_, at = open_[more], (at[more] + U(1)) & self.mask
         return out
 
-    def pair_keys(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pair_keys(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
         before = np.empty_like(numbers)
         before[1:] = numbers[:-1]
         before[first[:-1]] = self.start
-        return W.mix((before.astype(U) << U(32)) + numbers.astype(U)), before
+        return (before << 32) | numbers
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels that the filter holds, by repeated membership probes."""
-        out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        block = (keys >> U(56)).astype(np.int64)
-        base, masks = self.starts[block].astype(U), self.masks[block]
-        while len(alive) and level < 64:
-            there = alive
-            for probe in range(PROBES):
-                spot = base[there] + _spots(keys[there], level, probe, masks[there])
-                there = there[(self.filter[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & 1 == 1]
-            out[there] = level
-            alive, level = there, level + 1
+        """Levels that the filter holds; -1 where another part has the pair."""
+        block = block_of(keys.view(U), self.blocks)
+        out = np.full(len(keys), -1)
+        mine = np.flatnonzero(self.at[block] >= 0)
+        out[mine] = held(self.filter, self.at[block[mine]], self.sizes[block[mine]], keys[mine].view(U))
         return out
 
+    def log_pairs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 P(number | context) of pairs; 0 where another part has the pair."""
+        levels = self.levels(keys)
+        p = (count_of(levels) + PRIOR * self.prior[keys & 0xFFFFFFFF]) / (self.sums[keys >> 32] + PRIOR + self.false)
+        return np.where(levels >= 0, np.log10(np.minimum(1.0, p)), 0.0)
+
     def log_probability(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it, the unknown token taken as one word; 0 where another part has the pair."""
-        keys, before = self.pair_keys(numbers, first)
-        mine = self.starts[(keys >> U(56)).astype(np.int64)] >= 0
-        keys, before, out = keys[mine], before[mine], np.zeros(len(keys))
-        unique, where = np.unique(keys, return_inverse=True)
-        seen = np.minimum(count_of(self.levels(unique))[where], self.context[before])
-        out[mine] = np.log10(np.minimum(1.0, (seen + PRIOR * self.prior[numbers[mine]]) / (self.context[before] + PRIOR)))
-        return out
+        """log10 of each token's number's probability after the one before it."""
+        unique, where = np.unique(self.pair_keys(numbers, first), return_inverse=True)
+        return self.log_pairs(unique)[where]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +181,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def _counted(keys_of):
-    """Counts what keys_of gives for each chunk; counts are combined within a task while they fit FLUSH keys."""
+def _counted(keys_of, blocks: int = 0):
+    """Counts what keys_of gives for each chunk, and each key's block; counts are combined within a task while they fit FLUSH keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -158,7 +191,9 @@ def _counted(keys_of):
             keys, counts = _merge(parts)
             parts.clear()
             for a in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 18)].view(np.int64)), pa.array(counts[a : a + (1 << 18)])], ["key", "n"])
+                k = keys[a : a + (1 << 18)]
+                columns = [pa.array(k.view(np.int64)), pa.array(counts[a : a + (1 << 18)])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block_of(k.view(U), blocks), pa.int32())] if blocks else columns, ["key", "n", "block"] if blocks else ["key", "n"])
 
         held = 0
         for batch in batches:
@@ -179,39 +214,64 @@ def _counted(keys_of):
     return run
 
 
-def train(docs: DataFrame, vocabulary: int = 65_536, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, Model, DataFrame, list[list[int]]]:
+def _built(group: pa.Table) -> pa.Table:
+    """A block's filter, its false positive rate, and what its pairs add to the sums of their contexts."""
+    keys, counts = _merge([(group.column("key").to_numpy(), group.column("n").to_numpy())])
+    block = build_block(keys.view(U), counts)
+    levels = held(block, np.zeros(len(keys), np.int64), np.full(len(keys), len(block), U), keys.view(U))
+    contexts, where = np.unique(keys >> 32, return_inverse=True)
+    sums = np.bincount(where, count_of(levels), len(contexts))
+    return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary()), "rate": [false_rate(block)], "contexts": pa.array([contexts], pa.list_(pa.int64())), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+
+def train(docs: DataFrame, head: int = 65_536, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, Model, DataFrame, list[list[int]]]:
     """docs(text) -> counts(key, n) of all tokens by hash, the model without filter, the filter's blocks and which of them make a part. Null texts count as empty ones."""
     spark = docs.sparkSession
     docs = docs.select("text")
     raw_counts = docs.mapInArrow(_counted(lambda raw, offsets: tokens(raw, offsets)[0]), "key long, n long")
     counts = materialize(raw_counts.groupBy("key").agg(F.sum("n").alias("n")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(vocabulary).toArrow()
+    top = counts.orderBy(F.desc("n"), "key").limit(head).toArrow()
     keys, found = top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy().astype(np.int64)
-    ends = int(found[keys == END].sum())
-    words_only = Model(keys, found, total, distinct, ends, np.zeros(0, np.uint8), 4096).part({})
-    sent = spark.sparkContext.broadcast(words_only)
+    buckets = min(MOST_BUCKETS, 1 << max(0, (distinct - len(keys)) // 4).bit_length())
+    bucket = F.shiftrightunsigned("key", 20).bitwiseAND(F.lit(buckets - 1)).alias("bucket")
+    whole = counts.groupBy(bucket).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
+    masses = np.ones(buckets)
+    masses[whole.column("bucket").to_numpy()] += whole.column("mass").to_numpy()
+    masses -= np.bincount(((keys >> U(20)) & U(buckets - 1)).astype(np.int64), found + 1.0, buckets)
+    model = Model(keys, found, masses, total, distinct, max(1, ceil(total / BLOCK_TOKENS)))
+    sent = spark.sparkContext.broadcast(model)
 
     def pairs(raw, offsets):
         h, first = tokens(raw, offsets)
-        return sent.value.pair_keys(sent.value.numbers(h), first)[0]
-
-    def block(group: pa.Table) -> pa.Table:
-        k, n = group.column("key").to_numpy().view(U), group.column("n").to_numpy()
-        bits = max(4096, 1 << int(MIN_BITS * level_of(n).sum() - 1).bit_length())
-        return pa.table({"block": group.column("block")[:1], "bits": pa.array([build_block(k, n, bits)], pa.binary())})
-
-    seen = docs.mapInArrow(_counted(pairs), "key long, n long").withColumn("block", F.shiftrightunsigned("key", 56).cast("int"))
-    merged = seen.groupBy("block", "key").agg(F.sum("n").alias("n"))
-    blocks = materialize(merged.groupBy("block").applyInArrow(block, "block int, bits binary"), "filter")
-    parts, room = [[]], max_filter_bits // 8
-    for b, size in sorted(blocks.select("block", F.length("bits")).collect()):
+        return sent.value.pair_keys(sent.value.numbers(h), first)
+
+    seen = docs.mapInArrow(_counted(pairs, model.blocks), "key long, n long, block int")
+    blocks = materialize(seen.groupBy("block").applyInArrow(_built, "block int, bits binary, rate double, contexts array<long>, sums array<double>"), "filter")
+    sums = blocks.select(F.explode(F.arrays_zip("contexts", "sums")).alias("x")).groupBy("x.contexts").agg(F.sum("x.sums").alias("sum")).toArrow()
+    model = copy(model)
+    model.sums = np.zeros(model.start + 1)
+    model.sums[sums.column(0).to_numpy().astype(np.int64)] = sums.column(1).to_numpy()
+    parts, room, rates = [[]], max_filter_bits // 8, 0.0
+    built = {r.block: (r.size, r.rate) for r in blocks.select("block", F.length("bits").alias("size"), "rate").toLocalIterator()}
+    for b in range(model.blocks):
+        size, rate = built.get(b, (len(EMPTY), 0.0))
+        rates += rate
         if parts[-1] and size > room:
             parts.append([])
             room = max_filter_bits // 8
         parts[-1].append(b)
         room -= size
-    return counts, words_only, blocks, parts
+    model.false = rates / model.blocks * (model.start + 1)
+    return counts, model, blocks.select("block", "bits"), parts
+
+
+def _distinct(h: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, times, cut) of the different values h of each row."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[new], np.diff(np.append(new, len(h))), np.searchsorted(owner[new], np.arange(rows + 1))
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, parts: list[list[int]]) -> DataFrame:
@@ -223,9 +283,11 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
     spark, several = docs.sparkSession, len(parts) > 1
 
     def broadcast(part: list[int]):
-        return spark.sparkContext.broadcast(model.part({r.block: bytes(r.bits) for r in blocks.where(F.col("block").isin(part)).collect()}))
+        found = {r.block: bytes(r.bits) for r in blocks.where(F.col("block").isin(part)).toLocalIterator()} if part else {}
+        return spark.sparkContext.broadcast(model.part(dict.fromkeys(part, EMPTY) | found))
 
-    sent = broadcast(parts[0])
+    shuffled = len(parts) > MOST_PASSES
+    sent = broadcast([] if shuffled else parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = sent.value, TaskContext.get().partitionId() << 33
@@ -239,17 +301,19 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
                 if several:
                     every.append(numbers.astype(np.int32))
                     ends += (ends[-1] + first[1:]).tolist()
-                known = numbers < m.unknown
-                base = np.where(known, m.log_base[np.minimum(numbers, m.unknown - 1)], 0.0) if m.unknown else np.zeros(len(h))
-                logs = m.log_probability(numbers, first) - np.where(known, 0.0, np.log10(m.rest))
+                known = numbers < m.head
+                bucket = numbers[~known] - m.head
+                base, logs = np.full(len(h), -m.log_share), m.log_probability(numbers, first)
+                base[known] += m.log_count[numbers[known]]
+                logs[~known] -= m.log_mass[bucket]
                 for out, values in zip(columns, (np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), base, logs))), strict=False):
                     out.append(values)
-                for i in range(b - a):
-                    k, c = np.unique(h[first[i] : first[i + 1]][~known[first[i] : first[i + 1]]], return_counts=True)
-                    rare.append(k), times.append(c), cut.append(cut[-1] + len(k))
+                words, n, at = _distinct(h[~known], np.repeat(np.arange(b - a), np.diff(first))[~known], b - a)
+                rare.append(words.view(np.int64)), times.append(n)
+                cut += (cut[-1] + at[1:]).tolist()
             n = batch.num_rows
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-            items = pa.StructArray.from_arrays([join([k.view(np.int64) for k in rare], pa.int64()), join(times, pa.int64())], ["key", "times"])
+            items = pa.StructArray.from_arrays([join(rare, pa.int64()), join(times, pa.int64())], ["key", "times"])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), batch.column("doc_id"), batch.column("held_out"), *(join(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=False)), pa.ListArray.from_arrays(np.array(cut, np.int32), items), pa.ListArray.from_arrays(np.array(ends if several else [0] * (n + 1), np.int32), join(every, pa.int32()))], ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_score", "model_score", "rare", "numbers"])
             number += n
 
@@ -257,35 +321,66 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
 
     def further(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column, sums = batch.column("numbers"), [np.zeros(0)]
-                offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-                for a in range(0, batch.num_rows, 256):
-                    at = offsets[a : a + 257].astype(np.int64)
-                    logs = sent.value.log_probability(values[at[0] : at[-1]].astype(np.int64), at - at[0])
-                    sums.append(np.add.reduceat(logs, at[:-1] - at[0]))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(sums))], ["row", "more"])
+            for batch, at, numbers in _numbers(batches):
+                yield pa.RecordBatch.from_arrays([batch, pa.array(np.add.reduceat(sent.value.log_probability(numbers, at), at[:-1]))], ["row", "more"])
 
         return run
 
     added = None
-    for part in parts[1:]:
-        sent = broadcast(part)
-        one = materialize(rows.select("row", "numbers").mapInArrow(further(sent), "row long, more double"), "scored-part")
-        added = one if added is None else added.unionByName(one)
-        sent.destroy()
+    if shuffled:
+        added = _asked(rows.select("row", "numbers"), blocks, sent)
+    else:
+        for part in parts[1:]:
+            more = broadcast(part)
+            one = materialize(rows.select("row", "numbers").mapInArrow(further(more), "row long, more double"), "scored-part")
+            added = one if added is None else added.unionByName(one)
+            more.destroy()
     rows = rows.drop("numbers")
     if added is not None:
         more = added.groupBy("row").agg(F.sum("more").alias("more"))
         rows = rows.join(more, "row").withColumn("model_score", F.col("model_score") + F.col("more")).drop("more")
-    rare = rows.select("row", F.inline("rare"))
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
-    tails = rare.join(counts, "key", "left").select("row", "times", (F.col("times") * log).alias("part"), F.when(F.col("n") > 0, F.col("times")).alias("known"))
+    tails = rows.select("row", F.inline("rare")).join(counts, "key", "left")
+    tails = tails.select("row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("part"), F.when(F.col("n") > 0, F.col("times")).alias("known"))
     summed = tails.groupBy("row").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
     part, known = F.coalesce("part", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return rows.drop("rare").join(summed, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_head") + known).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("head_score") + part).alias("base_score"), (F.col("model_score") + part).alias("score"))
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(rows, first, numbers) of parts of the batches."""
+    for batch in batches:
+        column = batch.column("numbers")
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        for a in range(0, batch.num_rows, 256):
+            at = offsets[a : a + 257].astype(np.int64)
+            yield batch.column("row").slice(a, 256), at - at[0], values[at[0] : at[-1]].astype(np.int64)
+
+
+def _asked(rows: DataFrame, blocks: DataFrame, sent, most: int = BLOCK_TOKENS) -> DataFrame:
+    """rows(row, numbers) -> row, more: each text's pairs, shuffled to their block; a block that more than `most` pairs ask for has several tasks."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for ids, at, numbers in _numbers(batches):
+            keys, times, cut = _distinct(m.pair_keys(numbers, at), np.repeat(np.arange(len(ids)), np.diff(at)), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(block_of(keys.view(U), m.blocks), pa.int32()), pa.array(np.repeat(ids.to_numpy(), np.diff(cut))), pa.array(keys), pa.array(times)], ["block", "row", "key", "times"])
+
+    queries = materialize(rows.mapInArrow(ask, "block int, row long, key long, times long"), "queries")
+    tasks = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tasks"))
+    held = blocks.join(tasks, "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).select("block", "task", "bits")
+    dealt = queries.join(tasks.where("tasks > 1"), "block", "left").withColumn("task", F.pmod(F.xxhash64("row"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+
+    def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
+        part = sent.value.part({asked.column("block")[0].as_py(): block.column("bits")[0].as_py() if block.num_rows else EMPTY})
+        unique, where = np.unique(asked.column("key").to_numpy(), return_inverse=True)
+        owner, at = np.unique(asked.column("row").to_numpy(), return_inverse=True)
+        return pa.table({"row": owner, "more": np.bincount(at, part.log_pairs(unique)[where] * asked.column("times").to_numpy(), len(owner))})
+
+    return dealt.groupBy("block", "task").cogroup(held.groupBy("block", "task")).applyInArrow(answer, "row long, more double")
+
+
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFrame:
     """docs(doc_id, text): learns from rows whose crc32(doc_id) mod folds is not held (a null doc_id learns), scores all."""
     marked = docs.select("doc_id", "text", F.coalesce(fold(docs.doc_id, folds) == held, F.lit(False)).alias("held_out"))
