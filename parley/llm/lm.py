@@ -7,13 +7,14 @@ of a rare word isn't dropped.
 
 Counts of adjacent pairs of numbers go into a Bloom filter by their logarithm: a pair whose count has level q is inserted as (pair, 1) ... (pair, q), and a reader finds q by
 asking for levels 1, 2, ... until the filter denies one. Level 1 sets HASHES bits in each of two 64-bit words of its block, a further level in one word. Every counted pair goes in;
-a block has as many words as its entries need (ROOM), and the number of blocks grows with the tokens, about BLOCK_TOKENS in each.
+a block has as many words as its entries need (ROOM), and the number of blocks grows with the tokens, about BLOCK_TOKENS in each. The pairs of a context are in one block, but for
+contexts that are a quarter of a block alone: theirs are spread over all blocks. Tasks send a block's counted pairs together, as compressed differences of sorted numbers.
 
 P(number | v) = (count + PRIOR * P(number)) / (S(v) + PRIOR + false), where S(v) is the sum of v's counts as the filter tells them, taken when it
 is built, and `false` what the filter's false positives add up to over all numbers, by its measured fill. So the probabilities of a context sum to one, whatever
 the quantisation, but for the context's own luck with false positives (level 1: about 2 in 100,000 pairs).
 
-The filter is broadcast in parts of at most `max_filter_bits` (32 MB by default; besides, there are the numbers' counts, of bounded size). The first part is asked while words are
+The filter is broadcast in parts of at most `max_filter_bits` (64 MB by default; besides, there are the numbers' counts, of bounded size). The first part is asked while words are
 counted; each of up to MOST_PASSES - 1 further ones takes a pass over the texts' numbers, a text's score being the sum over the parts. A larger filter is asked by a
 shuffle: each text's pairs meet their block, and a block that many pairs ask for is held by several tasks.
 Counts of words outside the head are never broadcast: they join by word hash.
@@ -40,7 +41,7 @@ BASE = 1.6
 HASHES, ROOM = 8, 0.6
 PRIOR = 8.0
 MOST_BUCKETS = 1 << 20
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
 MOST_PASSES = 8
 FLUSH = 1 << 21
 EMPTY = bytes(8)
@@ -99,8 +100,16 @@ def false_rate(block: np.ndarray) -> float:
     return float(np.mean((np.bitwise_count(block) / 64.0) ** HASHES) ** 2)
 
 
-def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return ((W.mix(keys ^ U(0x5851F42D4C957F2D)) >> U(32)) * U(blocks) >> U(32)).astype(np.int64)
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts: differences, byte planes, compressed."""
+    planes = np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 16 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, 8, n)
+    deltas, counts = (np.ascontiguousarray(x.T).view(np.int64)[:, 0] for x in planes)
+    return np.cumsum(deltas), counts
 
 
 class Model:
@@ -121,18 +130,20 @@ class Model:
         self.log_count, self.log_mass = np.log10(counts + 1.0), np.log10(masses)
         mass = np.concatenate([counts + 1.0, masses])
         self.prior = mass / max(1.0, mass.sum())
+        self.spread = np.append(mass >= BLOCK_TOKENS // 4, True)
         self.sums, self.false = np.zeros(self.start + 1), 0.0
-        self.filter, self.at, self.sizes = np.zeros(0, U), np.full(blocks, -1, np.int64), np.zeros(blocks, U)
+        self.filter, self.held, self.at, self.sizes = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+
+    def block_of(self, keys: np.ndarray) -> np.ndarray:
+        at = W.mix(np.where(self.spread[keys >> 32], keys, keys >> 32).view(U) ^ U(0x5851F42D4C957F2D))
+        return ((at >> U(32)) * U(self.blocks) >> U(32)).astype(np.int64)
 
     def part(self, blocks: dict[int, bytes]) -> Model:
         """The model with these blocks of the filter only; pairs of other blocks add nothing to its scores."""
-        out = copy(self)
-        data = {b: np.frombuffer(x, U) for b, x in sorted(blocks.items())}
-        out.filter = np.concatenate([np.zeros(0, U), *data.values()])
-        out.at, out.sizes, at = np.full(self.blocks, -1, np.int64), np.zeros(self.blocks, U), 0
-        for b, x in data.items():
-            out.at[b], out.sizes[b] = at, len(x)
-            at += len(x)
+        out, words = copy(self), [np.frombuffer(x, U) for _, x in sorted(blocks.items())]
+        out.held, out.filter = np.array(sorted(blocks), np.int64), np.concatenate([np.zeros(0, U), *words])
+        out.sizes = np.array([len(x) for x in words], U)
+        out.at = np.cumsum(out.sizes.astype(np.int64)) - out.sizes.astype(np.int64)
         return out
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -158,10 +169,10 @@ class Model:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels that the filter holds; -1 where another part has the pair."""
-        block = block_of(keys.view(U), self.blocks)
-        out = np.full(len(keys), -1)
-        mine = np.flatnonzero(self.at[block] >= 0)
-        out[mine] = held(self.filter, self.at[block[mine]], self.sizes[block[mine]], keys[mine].view(U))
+        block, out = self.block_of(keys), np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.held, block), max(0, len(self.held) - 1))
+        mine = np.flatnonzero(self.held[place] == block) if len(self.held) else np.zeros(0, np.int64)
+        out[mine] = held(self.filter, self.at[place[mine]], self.sizes[place[mine]], keys[mine].view(U))
         return out
 
     def log_pairs(self, keys: np.ndarray) -> np.ndarray:
@@ -181,20 +192,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def _counted(keys_of, blocks: int = 0):
-    """Counts what keys_of gives for each chunk, and each key's block; counts are combined within a task while they fit FLUSH keys."""
+def _counted(keys_of, batch_of):
+    """Counts what keys_of gives for each chunk; counts are combined within a task while they fit FLUSH keys, and go out as batch_of makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out():
-            keys, counts = _merge(parts)
-            parts.clear()
-            for a in range(0, len(keys), 1 << 18):
-                k = keys[a : a + (1 << 18)]
-                columns = [pa.array(k.view(np.int64)), pa.array(counts[a : a + (1 << 18)])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(block_of(k.view(U), blocks), pa.int32())] if blocks else columns, ["key", "n", "block"] if blocks else ["key", "n"])
-
         held = 0
         for batch in batches:
             raw, offsets = W.text_buffer(batch.column("text"))
@@ -206,29 +208,49 @@ def _counted(keys_of, blocks: int = 0):
                     parts[:] = [_merge(parts)]
                     held = len(parts[0][0])
                     if held > FLUSH // 2:
-                        yield from out()
+                        yield from batch_of(*parts.pop())
                         held = 0
         if parts:
-            yield from out()
+            yield from batch_of(*_merge(parts))
+
+    return run
+
+
+def _words(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(keys), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 18)].view(np.int64)), pa.array(counts[a : a + (1 << 18)])], ["key", "n"])
+
+
+def _pairs(model: Model):
+    """Counted pairs, packed by block."""
+
+    def run(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        block = model.block_of(keys)
+        order = np.argsort(block, kind="stable")
+        keys, counts, block = keys[order], counts[order], block[order]
+        at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(keys)).tolist()
+        for a in range(0, len(at) - 1, 1000):
+            cuts = list(zip(at[a : a + 1000], at[a + 1 : a + 1001], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(block[[x for x, _ in cuts]], pa.int32()), pa.array([y - x for x, y in cuts], pa.int32()), pa.array([packed(keys[x:y], counts[x:y]) for x, y in cuts], pa.binary())], ["block", "n", "pairs"])
 
     return run
 
 
 def _built(group: pa.Table) -> pa.Table:
     """A block's filter, its false positive rate, and what its pairs add to the sums of their contexts."""
-    keys, counts = _merge([(group.column("key").to_numpy(), group.column("n").to_numpy())])
+    keys, counts = _merge([unpacked(x, n) for x, n in zip(group.column("pairs").to_pylist(), group.column("n").to_pylist(), strict=True)])
     block = build_block(keys.view(U), counts)
     levels = held(block, np.zeros(len(keys), np.int64), np.full(len(keys), len(block), U), keys.view(U))
     contexts, where = np.unique(keys >> 32, return_inverse=True)
     sums = np.bincount(where, count_of(levels), len(contexts))
-    return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary()), "rate": [false_rate(block)], "contexts": pa.array([contexts], pa.list_(pa.int64())), "sums": pa.array([sums], pa.list_(pa.float64()))})
+    return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary()), "rate": [false_rate(block)], "contexts": pa.array([contexts], pa.list_(pa.int32())), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
 
-def train(docs: DataFrame, head: int = 65_536, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, Model, DataFrame, list[list[int]]]:
-    """docs(text) -> counts(key, n) of all tokens by hash, the model without filter, the filter's blocks and which of them make a part. Null texts count as empty ones."""
+def train(docs: DataFrame, head: int = 1 << 18, max_filter_bits: int = 1 << 29) -> tuple[DataFrame, Model, DataFrame, list[list[int]] | None]:
+    """docs(text) -> counts(key, n) of all tokens by hash, the model without filter, the filter's blocks and which of them make a part (None: too many parts to pass over the texts for each). Null texts count as empty ones."""
     spark = docs.sparkSession
     docs = docs.select("text")
-    raw_counts = docs.mapInArrow(_counted(lambda raw, offsets: tokens(raw, offsets)[0]), "key long, n long")
+    raw_counts = docs.mapInArrow(_counted(lambda raw, offsets: tokens(raw, offsets)[0], _words), "key long, n long")
     counts = materialize(raw_counts.groupBy("key").agg(F.sum("n").alias("n")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "key").limit(head).toArrow()
@@ -242,27 +264,33 @@ def train(docs: DataFrame, head: int = 65_536, max_filter_bits: int = 1 << 28) -
     model = Model(keys, found, masses, total, distinct, max(1, ceil(total / BLOCK_TOKENS)))
     sent = spark.sparkContext.broadcast(model)
 
-    def pairs(raw, offsets):
-        h, first = tokens(raw, offsets)
-        return sent.value.pair_keys(sent.value.numbers(h), first)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys_of(raw, offsets):
+            h, first = tokens(raw, offsets)
+            return sent.value.pair_keys(sent.value.numbers(h), first)
 
-    seen = docs.mapInArrow(_counted(pairs, model.blocks), "key long, n long, block int")
-    blocks = materialize(seen.groupBy("block").applyInArrow(_built, "block int, bits binary, rate double, contexts array<long>, sums array<double>"), "filter")
+        yield from _counted(keys_of, _pairs(sent.value))(batches)
+
+    seen = docs.mapInArrow(pairs, "block int, n int, pairs binary")
+    blocks = materialize(seen.groupBy("block").applyInArrow(_built, "block int, bits binary, rate double, contexts array<int>, sums array<double>"), "filter")
     sums = blocks.select(F.explode(F.arrays_zip("contexts", "sums")).alias("x")).groupBy("x.contexts").agg(F.sum("x.sums").alias("sum")).toArrow()
     model = copy(model)
     model.sums = np.zeros(model.start + 1)
     model.sums[sums.column(0).to_numpy().astype(np.int64)] = sums.column(1).to_numpy()
-    parts, room, rates = [[]], max_filter_bits // 8, 0.0
-    built = {r.block: (r.size, r.rate) for r in blocks.select("block", F.length("bits").alias("size"), "rate").toLocalIterator()}
+    size, rates = blocks.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.sum("rate"), F.lit(0.0))).first()
+    model.false = rates / model.blocks * (model.start + 1)
+    most = max_filter_bits // 8
+    if size > MOST_PASSES * most:
+        return counts, model, blocks.select("block", "bits"), None
+    sizes = {r.block: r.size for r in blocks.select("block", F.length("bits").alias("size")).toLocalIterator()}
+    parts, room = [[]], most
     for b in range(model.blocks):
-        size, rate = built.get(b, (len(EMPTY), 0.0))
-        rates += rate
+        size = sizes.get(b, len(EMPTY))
         if parts[-1] and size > room:
             parts.append([])
-            room = max_filter_bits // 8
+            room = most
         parts[-1].append(b)
         room -= size
-    model.false = rates / model.blocks * (model.start + 1)
     return counts, model, blocks.select("block", "bits"), parts
 
 
@@ -274,20 +302,19 @@ def _distinct(h: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray,
     return h[new], np.diff(np.append(new, len(h))), np.searchsorted(owner[new], np.arange(rows + 1))
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, parts: list[list[int]]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, parts: list[list[int]] | None) -> DataFrame:
     """docs(doc_id, held_out, text) -> one row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the sum of log10((c + 1) / (N + V + 1)) over the tokens, score the model's log10
     probability. Null and empty texts have one token, the end. Repeated and null doc_ids keep their rows.
     """
-    spark, several = docs.sparkSession, len(parts) > 1
+    spark, several = docs.sparkSession, parts is None or len(parts) > 1
 
     def broadcast(part: list[int]):
         found = {r.block: bytes(r.bits) for r in blocks.where(F.col("block").isin(part)).toLocalIterator()} if part else {}
         return spark.sparkContext.broadcast(model.part(dict.fromkeys(part, EMPTY) | found))
 
-    shuffled = len(parts) > MOST_PASSES
-    sent = broadcast([] if shuffled else parts[0])
+    sent = broadcast(parts[0] if parts else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = sent.value, TaskContext.get().partitionId() << 33
@@ -327,7 +354,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
         return run
 
     added = None
-    if shuffled:
+    if parts is None:
         added = _asked(rows.select("row", "numbers"), blocks, sent)
     else:
         for part in parts[1:]:
@@ -363,7 +390,7 @@ def _asked(rows: DataFrame, blocks: DataFrame, sent, most: int = BLOCK_TOKENS) -
         m = sent.value
         for ids, at, numbers in _numbers(batches):
             keys, times, cut = _distinct(m.pair_keys(numbers, at), np.repeat(np.arange(len(ids)), np.diff(at)), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(block_of(keys.view(U), m.blocks), pa.int32()), pa.array(np.repeat(ids.to_numpy(), np.diff(cut))), pa.array(keys), pa.array(times)], ["block", "row", "key", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(m.block_of(keys), pa.int32()), pa.array(np.repeat(ids.to_numpy(), np.diff(cut))), pa.array(keys), pa.array(times)], ["block", "row", "key", "times"])
 
     queries = materialize(rows.mapInArrow(ask, "block int, row long, key long, times long"), "queries")
     tasks = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tasks"))

@@ -34,19 +34,27 @@ def test_base_score_against_brute_force(spark):
 
 
 def blank(blocks=1):
-    return lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(1), 0, 0, blocks)
+    m = lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(1), 0, 0, blocks)
+    m.spread = np.ones(1 << 20, bool)
+    return m
+
+
+def test_packed():
+    keys, counts = np.sort(np.random.default_rng(4).integers(0, 1 << 50, 999)), np.arange(1, 1000)
+    assert all((x == y).all() for x, y in zip(lm.unpacked(lm.packed(keys, counts), 999), (keys, counts), strict=True))
 
 
 def test_filter_holds_every_level():
     r = np.random.default_rng(1)
     keys, counts = r.integers(1, 1 << 50, 20_000), r.integers(1, 3000, 20_000)
     counts[::2] = 1
-    block = lm.block_of(keys.view(np.uint64), 16)
-    m = blank(16).part({b: lm.build_block(keys[block == b].view(np.uint64), counts[block == b]).tobytes() for b in range(16)})
+    m = blank(16)
+    block = m.block_of(keys)
+    m = m.part({b: lm.build_block(keys[block == b].view(np.uint64), counts[block == b]).tobytes() for b in range(16)})
     found = m.levels(keys)
     assert (found >= lm.level_of(counts)).all()
     assert (found == lm.level_of(counts)).mean() > 0.98
-    others = m.levels(r.integers(1 << 51, 1 << 52, 1_000_000))
+    others = m.levels(r.integers(1 << 50, 1 << 51, 1_000_000))
     rates = [lm.false_rate(m.filter[m.at[b] : m.at[b] + int(m.sizes[b])]) for b in range(16)]
     assert (others > 0).mean() < 2e-4 and 0.5 < (others > 0).mean() / np.mean(rates) < 2
     assert blank(16).part({3: bytes(8)}).levels(keys).max() == 0 and (blank(16).part({3: bytes(8)}).levels(keys) == -1).sum() == (block != 3).sum()
@@ -119,7 +127,7 @@ def test_parts_of_the_filter_add_up(spark, monkeypatch):
     whole = {r.doc_id: r for r in lm.lm_scores(df).collect()}
     parts = {r.doc_id: r for r in lm.lm_scores(df, max_filter_bits=1 << 15).collect()}
     monkeypatch.setattr(lm, "MOST_PASSES", 2)
-    asked = {r.doc_id: r for r in lm.lm_scores(df, max_filter_bits=1 << 13).collect()}
+    asked = {r.doc_id: r for r in lm.lm_scores(df, max_filter_bits=1 << 12).collect()}
     assert len(whole) == len(parts) == len(asked) == len(rows)
     for other in (parts, asked):
         assert all(math.isclose(whole[i].score, r.score, rel_tol=1e-9) and whole[i].base_score == r.base_score for i, r in other.items())
