@@ -6,6 +6,8 @@ So an insult with a character put in, or with gaps, still resembles its plain fo
 without its punctuation, if two letters are left, and a run of single characters is also taken as one word.
 A text's similarity to a landmark is that of its most similar word; whole texts are read.
 
+A second fit also learns the rows of label 1 as they would be with a letter put into, or left out of, the landmarks in them, which is what weighs near words; both are scaled on the rows as they are, and the greater score counts.
+
 Learning: of the labelled rows, at most about `sample_rows` (by hash of the id, half of them of each label where there are
 enough) are used. Their words are counted by label; the words most associated with label 1 (by a log-likelihood
 gain of at least `least_gain`), unlike each other, become the `landmarks`. All their letters count, in any number of scripts: subsequences
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold
+from parley.llm.common import fold, materialize
 
-DECAY, POWER, LEAST = 0.6, 3, 0.5
+DECAY, POWER, LEAST = 0.6, 3, 0.47
 PATTERNS = [((0, 1, 2), 1.0), ((0, 1, 3), DECAY), ((0, 2, 3), DECAY), ((0, 1, 4), DECAY**2), ((0, 2, 4), DECAY**2), ((0, 3, 4), DECAY**2)]
 ENDS = "\x02", "\x03"
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\W){3,}[^\W\d_](?!\S)")
@@ -85,6 +87,7 @@ class Kernel:
             for j, x in row.items():
                 self.table[u, j] = x
         self.norms = np.maximum(1e-9, np.sqrt((self.table.astype(float) ** 2).sum(0)))
+        self.most = (self.table / self.norms).max(1, initial=0.0)
 
     def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, code, weight) of every subsequence; the code of one with a letter that no landmark has is below 0."""
@@ -118,9 +121,9 @@ class Kernel:
         row = np.where(code > 0, self._rows(np.maximum(code, 0)), -1)
         hit = np.flatnonzero(row >= 0)
         square = np.bincount(owner, weight**2, len(words))
-        # no landmark is nearer than the part of a word's norm that lies in subsequences of landmarks (0.8: equal ones double up)
-        part = np.bincount(owner[hit], weight[hit] ** 2, len(words))
-        hit = hit[part[owner[hit]] >= 0.8 * LEAST**2 * square[owner[hit]]]
+        # no landmark can be nearer than the sum of what each of a word's subsequences adds to the landmark it adds most to
+        most = np.bincount(owner[hit], weight[hit] * self.most[row[hit]], len(words))
+        hit = hit[(most >= LEAST * np.sqrt(square) - 1e-6)[owner[hit]]]
         hit = hit[np.argsort(owner[hit], kind="stable")]
         dots = np.zeros((len(words), len(self.landmarks)), np.float32)
         if len(hit):
@@ -163,26 +166,30 @@ class Kernel:
 class Machine:
     """Nystrom's map, the linear machine and the logistic fit of its margins."""
 
-    def __init__(self, kernel: Kernel, x: np.ndarray, y: np.ndarray, cost: float = 10.0):
+    def __init__(self, kernel: Kernel, x: np.ndarray, y: np.ndarray, more: np.ndarray, cost: float = 10.0):
+        """x, y: the labelled rows' features and labels; more: features of further rows of label 1, which a second margin learns too. A margin's scale is learned from the labelled rows alone."""
         self.kernel = kernel
         base = kernel.features(list(kernel.landmarks)).astype(float)
         values, vectors = np.linalg.eigh((base + base.T) / 2 + 1e-3 * np.eye(len(base))) if len(base) else (np.ones(0), np.zeros((0, 0)))
         keep = values > 1e-3
         self.map = vectors[:, keep] / np.sqrt(values[keep])
-        self.weights = np.zeros(keep.sum() + 1)
-        self.slope, self.offset = 1.0, -4.0
+        self.fits = [(np.zeros(keep.sum() + 1), 1.0, -4.0)]
         ones = int((y == 1).sum())
         if 0 < ones < len(y):
-            self._fit(self._expand(x), np.where(y == 1, 1.0, -1.0), cost)
+            z, signs = self._expand(x), np.where(y == 1, 1.0, -1.0)
+            self.fits = [self._scaled(self._fit(z, signs, cost), z, y == 1)]
+            if len(more):
+                both = np.concatenate([z, self._expand(more)])
+                self.fits.append(self._scaled(self._fit(both, np.append(signs, np.ones(len(more))), cost), z, y == 1))
         elif len(y):
             rate = min(max((ones + 0.5) / (len(y) + 1), 1e-3), 1 - 1e-3)
-            self.slope, self.offset = 0.0, float(np.log(rate / (1 - rate)))
+            self.fits = [(self.fits[0][0], 0.0, float(np.log(rate / (1 - rate))))]
 
     def _expand(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x.astype(float) @ self.map, np.ones((len(x), 1))], 1)
 
-    def _fit(self, z: np.ndarray, y: np.ndarray, cost: float) -> None:
-        w, ridge = self.weights, np.eye(z.shape[1])
+    def _fit(self, z: np.ndarray, y: np.ndarray, cost: float) -> np.ndarray:
+        w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
         ridge[-1, -1] = 1e-6
         for _ in range(30):
             active = y * (z @ w) < 1
@@ -190,19 +197,21 @@ class Machine:
             if np.abs(new - w).max() < 1e-6:
                 break
             w = new
-        self.weights = w
-        m, t = z @ w, (y > 0).astype(float)
+        return w
+
+    def _scaled(self, w: np.ndarray, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float, float]:
+        m = z @ w
         ab = np.array([1.0, 0.0])
         design = np.stack([m, np.ones_like(m)], 1)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ ab, -30, 30)))
             step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (t - p) - 1e-3 * ab)
             ab = ab + np.clip(step, -2, 2)
-        self.slope, self.offset = float(ab[0]), float(ab[1])
+        return w, float(ab[0]), float(ab[1])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        margin = self._expand(self.kernel.features(texts)) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+        z = self._expand(self.kernel.features(texts))
+        return np.max([1 / (1 + np.exp(-np.clip(slope * (z @ w) + offset, -30, 30))) for w, slope, offset in self.fits], axis=0)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
@@ -226,13 +235,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, landmarks: int = 64, least_gain: float = 5.0) -> Machine:
     """docs(doc_id, text) and labels(doc_id, toxic) to learn from -> a machine. Rows without text, label or id teach nothing; of several labels the highest counts."""
-    sample = _sample(docs.where("text IS NOT NULL"), labels, sample_rows)
+    sample = materialize(_sample(docs.where("text IS NOT NULL"), labels, sample_rows), "labelled")
     words = sample.mapInArrow(_count, "word string, zeros long, ones long").groupBy("word").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     ones, zeros = (max(1, v) for v in sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first())
     share = F.lit(ones / (ones + zeros)) * (F.col("ones") + F.col("zeros"))
     rest = F.lit(zeros / (ones + zeros)) * (F.col("ones") + F.col("zeros"))
     gain = F.col("ones") * F.log((F.col("ones") + 0.1) / (share + 0.1)) + F.col("zeros") * F.log((F.col("zeros") + 0.1) / (rest + 0.1))
-    top = words.where((gain >= least_gain) & (F.col("ones") > share) & (F.length("word") <= 40)).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(8 * landmarks).collect()
+    top = words.where((gain >= least_gain) & (F.col("ones") > share)).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(8 * landmarks).collect()
     names = [r.word for r in top]
     chosen: list[str] = []
     if names:
@@ -252,7 +261,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, landmar
 
     rows = sample.mapInArrow(features, "x binary, toxic int").toArrow().sort_by([("x", "ascending"), ("toxic", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, len(chosen))
-    return Machine(Kernel(chosen), x, rows.column("toxic").to_numpy())
+    kernel, y = Kernel(chosen), rows.column("toxic").to_numpy()
+    return Machine(kernel, x, y, disguised(kernel, x[y == 1]))
+
+
+def disguised(kernel: Kernel, x: np.ndarray) -> np.ndarray:
+    """Features of labelled rows as they would be with one letter put into, or left out of, each landmark that stands in them; rows without one are left out."""
+    if not len(x) or not kernel.landmarks:
+        return x[:0]
+    stands, weak = x > 0.999, []
+    for j, w in enumerate(kernel.landmarks):
+        near = kernel.features([w[:i] + mark + w[i + skip :] for i in range(1, len(w)) for mark, skip in (("x", 0), ("", 1))])
+        weak.append(near[np.argsort(np.where(near[:, j] > 0, near[:, j], 2.0), kind="stable")[:4]])  # those that are least like it
+    out = [np.max([weak[j][k % len(weak[j])] for j in np.flatnonzero(s)], axis=0) for k, s in enumerate(stands) if s.any()]
+    return np.array(out, np.float32).reshape(-1, x.shape[1])
 
 
 def _scorer(sent, finish):

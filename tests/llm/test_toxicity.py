@@ -72,6 +72,30 @@ def test_held_out_and_gaps(spark):
     assert all(got[i].score > 0.3 for i in (9002, 9003, 9005)) and got[9004].score > got[9001].score
 
 
+def test_altered_insults_are_caught(spark):
+    r = random.Random(3)
+    docs, labels = rows_of(7, 500)
+    clean = [t for (i, t), (j, y) in zip([d for d in docs if d[0] in dict(labels)], labels, strict=True) if i == j and not y]
+    probes = {}
+
+    def add(kind, text):
+        probes[20_000 + len(probes)] = kind
+        docs.append((19_999 + len(probes), text))
+
+    for k in range(60):
+        w, letters = BAD[k % 3], "aeikmoqstxz"
+        i = r.randrange(1, len(w))
+        words = " ".join(r.choices(docs[k][1].split() or ["ka"], k=8)) if docs[k][0] not in {i for i, y in labels if y} else "ka to mi"
+        for kind, form in (("plain", w), ("put in", w[:i] + r.choice(letters) + w[i:]), ("left out", w[:i] + w[i + 1 :]), ("doubled", w[:i] + w[i - 1] + w[i:]), ("gapped", "*".join((w[:i], w[i:]))), ("spelled", " ".join(w))):
+            add(kind, f"ka to {form} {words}")
+    for k in range(100):
+        add("clean", clean[k % len(clean)])
+    add("long", "ka mi " * 60_000 + "vermin")
+    got = {x.doc_id: x.predicted for x in T.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    share = {kind: np.mean([got[i] for i, k in probes.items() if k == kind]) for kind in set(probes.values())}
+    assert share.pop("clean") <= 0.03 and share.pop("left out") >= 0.8 and all(v >= 0.9 for v in share.values()), share
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
