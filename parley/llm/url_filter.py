@@ -32,15 +32,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.select("key", "action", F.col("dated").alias("valid_from"), until.alias("valid_to")).where("action <> 'remove'")
 
 
-def keys_of(url: Column) -> Column:
-    """Every key that could list a url: the host and its parents, and host plus each leading part of the path."""
+def deepest(lists: DataFrame) -> tuple[int, int, int, int]:
+    """(intervals, bytes of their keys, most labels of a host key, most sections of a path key)."""
+    host, path = F.substring_index("key", "/", 1), F.instr("key", "/") > 0
+    labels = F.when(~path, F.size(F.split("key", r"\.")))
+    steps = F.when(path, F.size(F.split("key", "/")) - 1)
+    return tuple(lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)), F.coalesce(F.max(labels), F.lit(0)), F.coalesce(F.max(steps), F.lit(0))).first())
+
+
+def keys_of(url: Column, labels: int, sections: int) -> Column:
+    """Every key that could list a url where no listed host has more labels and no listed path more sections than given: the host and its parents, and host plus
+    each leading part of the path. What is deeper is listed nowhere, so a long url costs no more than the list's own depth."""
     host = F.lower(F.regexp_extract(url, URL, 1))
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda s: s != "")
-    paths = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(steps, F.lit(1), i), "/")))))
-    every = F.concat(parents, F.coalesce(paths, F.array().cast("array<string>")))
-    return F.when(host != "", every)
+    parts = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(parts) - (labels - 1))
+    parents = F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")) if labels else None
+    steps = F.slice(F.filter(F.split(F.lower(F.regexp_extract(url, URL, 2)), "/"), lambda s: s != ""), 1, max(1, sections))
+    paths = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))) if sections else None
+    every = [F.coalesce(k, F.array().cast("array<string>")) for k in (parents, paths) if k is not None]
+    return F.when(host != "", F.concat(*every) if every else F.array().cast("array<string>"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -50,15 +60,17 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     deciding key (null: none) and blocked whether it blocks. Null urls, urls without a host and null dates match nothing (host
     null where there is none). Other columns are ignored; empty tables give empty results or no rules.
     """
-    lists = intervals(entries)
-    rows = captures.select("page_id", "url", "fetched_on").distinct()
-    asked = rows.select("*", F.explode_outer(keys_of(F.col("url"))).alias("asked"))
-    n, size = lists.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    lists = intervals(entries).where(~F.startswith("key", F.lit("/")))
+    n, size, labels, sections = deepest(lists)
     few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     held = F.broadcast(lists) if few else lists
+    asked = captures.select("page_id", "url", "fetched_on", F.posexplode_outer(keys_of(F.col("url"), labels, sections)).alias("at", "asked"))
     active = (F.col("asked") == F.col("key")) & (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
     best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("length"), (F.col("action") == "block").alias("block"), F.col("key").alias("key"))))
-    found = asked.join(held, active, "left").groupBy("page_id", "url", "fetched_on").agg(F.count("key").alias("n_active"), best.alias("best"))
+    # rows that repeat a capture meet the list before they are put together: a key has one interval at most at a time, so its first key tells how many they are
+    copies = F.count_if(F.coalesce("at", F.lit(0)) == 0)
+    met = asked.join(held, active, "left").groupBy("page_id", "url", "fetched_on")
+    found = met.agg((F.count("key") / copies).cast("long").alias("n_active"), best.alias("best"))
     host = F.nullif(F.lower(F.regexp_extract("url", URL, 1)), F.lit(""))
     return found.select("page_id", "url", "fetched_on", host.alias("host"), "n_active", F.col("best.key").alias("rule"), F.coalesce("best.block", F.lit(False)).alias("blocked"))
 

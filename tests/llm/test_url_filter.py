@@ -33,6 +33,21 @@ def test_long_keys(spark, monkeypatch):
     assert run(spark, captures, entries) == want
 
 
+def test_urls_of_many_sections_and_labels(spark):
+    deep, wide = "/s" * 100_000, "h." * 50_000
+    captures = [(1, f"http://site.net{deep}", D(2024, 1, 1)), (2, f"http://{wide}site.net/x", D(2024, 1, 1)), (3, "http://a.site.net/s", D(2024, 1, 1))]
+    entries = [("site.net", "block", D(2024, 1, 1)), ("site.net/s/s/s", "allow", D(2024, 1, 1)), ("/s", "block", D(2024, 1, 1))]
+    first = D(2024, 1, 1)
+    assert run(spark, captures, entries) == {(1, first): (2, "site.net/s/s/s", False), (2, first): (1, "site.net", True), (3, first): (1, "site.net", True)}
+    assert run(spark, captures, entries[1:2])[1, first] == (1, "site.net/s/s/s", False)
+
+
+def test_repeated_captures_count_once(spark):
+    captures = [(1, "http://a.b.c/d", D(2024, 2, 1))] * 7 + [(2, None, None)] * 3
+    entries = [(k, "block", D(2024, 1, 1)) for k in ("b.c", "a.b.c/d", "c")]
+    assert run(spark, captures, entries) == {(1, D(2024, 2, 1)): (3, "a.b.c/d", True), (2, None): (0, None, False)}
+
+
 def test_without_broadcast(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     first = U.evaluate(U.captures_of(pages), U.dated_list(pages)).collect()
