@@ -11,7 +11,7 @@ are split into 8 blocks of 8 bits: two fingerprints within RADIUS = 23 bits agre
 2 bits, so listing each item under the 37 nearby values of each of its blocks finds all of them. A pair at similarity 0.8 differs in about 10 bits
 with a standard deviation under 3. Candidates are then decided by exact similarity.
 
-The benchmark is read in blocks of bounded size, each broadcast on its own; documents aren't shuffled.
+The benchmark is read in blocks of bounded size, one after the other, each broadcast on its own (from the second on with a pass over the documents for each); documents aren't shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import words as W
+from parley.llm.common import materialize
 
 U = np.uint64
 RADIUS = 23
@@ -49,6 +50,11 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def better(a: tuple[float, int] | None, b: tuple[float, int]) -> tuple[float, int]:
+    """The more similar match, the earlier of equal ones."""
+    return b if a is None or (-b[0], b[1]) < (-a[0], a[1]) else a
+
+
 class Index:
     """Benchmark items by size, with the Hamming blocks of their fingerprints."""
 
@@ -69,14 +75,15 @@ class Index:
             group = self.groups.setdefault((n, words), {"ids": [], "bags": [], "prints": [], "size": words - n + 1})
             group["ids"].append(item)
             group["bags"].append(Counter(s.tolist()))
-            group["prints"].append(int(fingerprints(s, np.array([0]), len(s))[0]))
+            group["prints"].append(fingerprints(s, np.array([0]), len(s))[0])
         for group in self.groups.values():
-            table = [[0] * 256 for _ in range(PARTS)]  # items near a block's value, as bits of a number
-            for at, p in enumerate(group["prints"]):
-                for part in range(PARTS):
-                    for mask in NEAR:
-                        table[part][(p >> 8 * part & 255) ^ mask] |= 1 << at
-            group["table"] = table
+            prints = group["prints"] = np.array(group["prints"], U)
+            at = np.arange(len(prints))
+            group["table"] = np.zeros((PARTS, 256, -(-len(prints) // 64)), U)  # items near a block's value, as bits
+            for part in range(PARTS):
+                block = (prints >> U(8 * part) & U(255)).astype(np.int64)
+                for mask in NEAR:
+                    np.bitwise_or.at(group["table"][part], (block ^ mask, at >> 6), U(1) << (at & 63).astype(U))
             group["need"] = ceil(2 * least / (1 + least) * group["size"] - 1e-9)
         self.known, self.gates, self.fewest = {}, {}, {}
         for n, parts in known.items():
@@ -87,17 +94,11 @@ class Index:
             # a document shorter than the item may be one smaller window
             self.fewest[n] = min(ceil(least * g["size"] - 1e-9) for (m, _), g in self.groups.items() if m == n)
 
-    def near(self, group: dict, print_: int) -> set[int]:
+    def near(self, group: dict, print_: int) -> list[int]:
         """Items whose fingerprints are within RADIUS."""
-        found, out = 0, set()
-        for part, row in enumerate(group["table"]):
-            found |= row[print_ >> 8 * part & 255]
-        while found:
-            at = (found & -found).bit_length() - 1
-            found &= found - 1
-            if (group["prints"][at] ^ print_).bit_count() <= RADIUS:
-                out.add(at)
-        return out
+        found = np.bitwise_or.reduce([row[print_ >> 8 * part & 255] for part, row in enumerate(group["table"])])
+        at = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
+        return at[np.bitwise_count(group["prints"][at] ^ U(print_)) <= RADIUS].tolist()
 
     def search(self, s: np.ndarray, n: int) -> dict[int, tuple[float, int]]:
         """item -> (similarity, first word of the best window) for one document's n-word shingles."""
@@ -112,17 +113,17 @@ class Index:
             if not len(starts):
                 continue
             low, high = int(starts[0]), int(starts[-1]) + size
-            seen: dict[int, set[int]] = {}
+            seen: dict[int, list[int]] = {}
             for start, print_ in zip(starts.tolist(), fingerprints(s[low:high], starts - low, size).tolist(), strict=True):
                 if print_ not in seen:
                     seen[print_] = self.near(group, print_)
-                if not seen[print_]:
+                if not len(seen[print_]):
                     continue
                 bag = Counter(s[start : start + size].tolist())
                 for at in seen[print_]:
                     found, item = similarity(bag, group["bags"][at]), group["ids"][at]
-                    if found >= self.least and (item not in best or found > best[item][0]):
-                        best[item] = (found, start)
+                    if found >= self.least:
+                        best[item] = better(best.get(item), (found, start))
         return best
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
@@ -135,18 +136,19 @@ class Index:
                 s, cut = W.shingle_hashes(h, first, n)
                 hits = np.concatenate([[0], np.cumsum(gate[(s >> U(64 - GATE_BITS)).astype(np.int64)])])
                 for i in np.flatnonzero(hits[cut[1:]] - hits[cut[:-1]] >= max(1, self.fewest[n])).tolist():
-                    if found := self.search(s[cut[i] : cut[i + 1]], n):
-                        merged.setdefault(a + i, {}).update(found)
+                    for item, match in self.search(s[cut[i] : cut[i + 1]], n).items():
+                        of = merged.setdefault(a + i, {})
+                        of[item] = better(of.get(item), match)
             yield from merged.items()
 
 
 def indexes(benchmark: DataFrame, shingle: int = 5, least: float = 0.8, most_items: int = 50_000, most_bytes: int = 64 << 20) -> Iterator[Index]:
-    """Indexes of blocks of the benchmark; items without words or id are in none."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    """Indexes of blocks of the benchmark, made one at a time; an item_id's texts are in one block, items without words or id in none."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     rows, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, ceil(rows / most_items), ceil(size / most_bytes))
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         yield Index(sorted((r.item_id, r.text) for r in part.collect()), shingle, least)
 
 
@@ -170,11 +172,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least
 
         return run
 
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(finder(spark.sparkContext.broadcast(x)), schema) for x in indexes(benchmark, shingle, least, **limits)])
+    found, last = [], None
+    for index in indexes(benchmark, shingle, least, **limits):  # one block of the benchmark is held at a time
+        if last is not None:
+            found.append(materialize(docs.mapInArrow(finder(last), schema), "contamination"))
+            last.destroy()
+        last = spark.sparkContext.broadcast(index)
+    return reduce(DataFrame.unionByName, [*found, docs.mapInArrow(finder(last), schema)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, **limits) -> DataFrame:
-    """The rows of docs that match no item, with all their columns; nothing is shuffled."""
+    """The rows of docs that match no item, with all their columns, whatever their names; nothing is shuffled. Null, empty and blank texts match nothing and stay, as do repeated rows and rows without doc_id."""
     spark = docs.sparkSession
 
     def keeper(sent):
@@ -186,6 +194,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float
 
         return run
 
+    last = None
     for index in indexes(benchmark, shingle, least, **limits):
-        docs = docs.mapInArrow(keeper(spark.sparkContext.broadcast(index)), docs.schema)
-    return docs
+        if last is not None:
+            docs = materialize(docs.mapInArrow(keeper(last), docs.schema), "clean")
+            last.destroy()
+        last = spark.sparkContext.broadcast(index)
+    return docs.mapInArrow(keeper(last), docs.schema)

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from parley.llm.decontaminate import clean, contamination
+from parley.llm.decontaminate import RADIUS, Index, clean, contamination
 
 
 def bag(words, n):
@@ -55,6 +55,27 @@ def test_against_brute_force(spark):
     assert kept.columns == left.columns and {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_ties_repeats_and_long_texts(spark):
+    item = " ".join(f"k{i}" for i in range(12))
+    twice = f"a b {item} c {item} d"
+    docs = spark.createDataFrame([(1, twice), (1, twice), (2, "x " * 150_000 + item), (3, item[:-4])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (7, "k0 k1 k2"), (8, item.upper()), (None, item)], "item_id long, text string")
+    for limits in ({}, {"most_items": 1}):
+        got = sorted((x.doc_id, x.item_id, x.similarity, x.word_start) for x in contamination(docs, items, **limits).collect())
+        assert got[:4] == [(1, 7, 1.0, 2), (1, 7, 1.0, 2), (1, 8, 1.0, 2), (1, 8, 1.0, 2)] and got[4:6] == [(2, 7, 1.0, 150_000), (2, 8, 1.0, 150_000)]
+        assert got[6][:2] == (3, 7) and got[6][2] == 1.0 and clean(docs, items, **limits).count() == 0  # k0 k1 k2 is an item's text too
+
+
+def test_an_index_of_many_items_of_one_size():
+    r = random.Random(1)
+    texts = [(i, " ".join(f"m{r.randrange(5000)}" for _ in range(9))) for i in range(3000)]
+    index = Index(texts, 5, 0.8)
+    (group,) = index.groups.values()
+    prints = [int(p) for p in group["prints"]]
+    for p in prints[:40]:
+        assert index.near(group, p) == [i for i, q in enumerate(prints) if (p ^ q).bit_count() <= RADIUS]
+
+
 def test_empty_tables(spark):
     docs, items = (spark.createDataFrame([], f"{c} long, text string") for c in ("doc_id", "item_id"))
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
