@@ -11,7 +11,8 @@ border is a chain of ever larger pieces, each alive from its own rank until that
 edges alive together is in the way if its rank is before the ends of both (at equal ranks the left one goes first).
 
 Characters that no piece holds become their UTF-8 bytes' pieces and are borders for certain. A blank after another
-character is one too where no piece holds such a pair; units between certain borders are remembered (up to CACHE of them).
+character is one too where no piece holds such a pair: all surviving paths converge there, so that each such border is a commit point, which needs no search for it. What stands between
+two of them, the window's whole content then, is remembered with its ids (up to CACHE of LONG characters or fewer).
 """
 
 from __future__ import annotations
@@ -32,9 +33,40 @@ LONG = 64
 NEVER = 1 << 60
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields."""
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return out
+
+    at = 0
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def model_type(data: bytes) -> int:
+    """The trainer's model type: 1 unigram (also where none is stated), 2 byte-pair merges, 3 words, 4 characters."""
+    trainer = next((v for n, v in _fields(data) if n == 2), b"")
+    return next((v for n, v in _fields(trainer) if n == 3), 1)
+
+
 def read_model(path: str = DEFAULT_MODEL) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) by id; kind 0 ordinary, 1 byte, 2 control, unknown or unused."""
+    """(piece, score, kind) by id; kind 0 ordinary, 1 byte, 2 control, unknown or unused. Scores must be merge ranks: other models than those of byte-pair merges are refused."""
     p = sentencepiece.SentencePieceProcessor(model_file=path)
+    if (found := model_type(p.serialized_model_proto())) != 2:
+        raise ValueError(f"{path} is no model of byte-pair merges (its type is {found})")
     kind = lambda i: 1 if p.is_byte(i) else 2 if p.is_control(i) or p.is_unknown(i) or p.is_unused(i) else 0
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
@@ -193,7 +225,7 @@ class Codec:
 
 
 def encode_table(docs: DataFrame, path: str = DEFAULT_MODEL, keep: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_ids, ids, round_trip (and the other columns too with keep): a row for each row.
+    """docs(doc_id, text) -> doc_id, n_ids, ids, round_trip (and the other columns too with keep, whatever their names, but that a caller's own n_ids, ids and round_trip are replaced): a row for each row.
 
     Null and empty texts have no ids. round_trip says that decoding gives the text back; the blank sign itself decodes as a
     blank. Null and repeated doc_ids keep their rows. An empty table gives none. The model, of

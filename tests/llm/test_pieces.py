@@ -43,6 +43,31 @@ def test_long_units_and_parts(both):
     assert codec.encode(t) == library.encode(t)
 
 
+def test_whole_documents_as_streams(both):
+    codec, library = both
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for t in texts[:40]:
+        whole = P.BLANK + t.replace(" ", P.BLANK)
+        assert list(codec.stream(iter([whole[i : i + 11] for i in range(0, len(whole), 11)]))) == library.encode(t)
+
+
+def test_the_window_stays_bounded(both):
+    codec, _ = both
+    seen = []
+    walk = codec.walk
+    codec.walk = lambda last, size, end: (seen.append(len(size)), walk(last, size, end))[1]
+    try:
+        n = sum(1 for _ in codec.stream(iter(["the cat sat ".replace(" ", P.BLANK) * 20_000])))
+    finally:
+        del codec.walk
+    assert n > 50_000 and len(seen) > 40 and max(seen) < 4096 + 4 * codec.longest
+
+
+def test_other_models_are_refused(both):
+    field = lambda n, v: bytes([n << 3, v]) if isinstance(v, int) else bytes([n << 3 | 2, len(v)]) + v
+    assert P.model_type(field(1, b"piece") + field(2, field(1, b"in") + field(3, 1))) == P.model_type(b"") == 1 and P.model_type(field(2, field(3, 2))) == 2
+
+
 def test_tables(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "two  words\n", None), (4, "a▁b", "z"), (None, "n", "z"), (4, "again", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
