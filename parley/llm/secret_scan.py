@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,25 @@ NAME_STEMS = tuple(sorted({s.encode() for s in (*STRONG, "pass", "auth", *(f"{o}
 ABOUT = {"type", "name", "field", "length", "len", "count", "url", "uri", "path", "file", "id", "hint", "prompt", "label", "size", "limit", "ttl", "expiry", "expires", "policy", "regex", "pattern", "header", "index"}
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|your.*|my.*|change.?me|example.*|sample.*|dummy.*|test.*|placeholder.*|none|null|true|false|undefined|redacted.*|todo.*|password\d{0,3}|secret\d{0,3}|token\d{0,3})$", re.IGNORECASE)
 THRESHOLD = 4
-TOKEN = re.compile(
-    r"""(?P<text>\"\"\"(?s:.{0,4096}?)\"\"\"|"(?:\\.|[^"\\\n]){0,4096}"|'(?:\\.|[^'\\\n]){0,4096}'|`[^`\n]{0,4096}`)
-    |(?P<name>[A-Za-z_$][A-Za-z0-9_$]{0,127}(?:[.-][A-Za-z0-9_$]{1,127}){0,16})
-    |(?P<op>:=|=>|==|!=|<=|>=|\+=|</|[=:+,;(){}\[\]<>\n])
-    |(?P<bare>[^\s"'`=:+,;(){}\[\]<>]{1,4096})""",
-    re.VERBOSE,
-)
-BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]{1,4096}")
+LOOK = 256
+def _lexer(quotes: str) -> re.Pattern:
+    """Tokens of a text, strings among them only in the given quotes. Nothing can backtrack or has a greatest length."""
+    strings = {'"': r"""\"\"\"(?s:.*?)\"\"\"|"(?:\\.|[^"\\\n])*+\"""", "'": r"""'(?:\\.|[^'\\\n])*+'""", "`": "`[^`]*+`"}
+    text = "|".join(strings[q] for q in quotes) or "(?!)"
+    return re.compile(
+        rf"""(?P<text>{text})
+        |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++)*+)
+        |(?P<op>:=|=>|==|!=|<=|>=|\+=|</|[=:+,;(){{}}\[\]<>\n])
+        |(?P<bare>[^\s"'`=:+,;(){{}}\[\]<>]++)
+        |(?P<open>["'`])""",
+        re.VERBOSE,
+    )
+
+
+LEXERS = {q: _lexer(q) for q in ("\"'`", "\"'", "\"`", "'`", '"', "'", "`", "")}
+BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]++")
+SPACE = re.compile(r"\s")
+TAGGED = re.compile(r"[^\s<>]++(?=</)")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -55,18 +67,33 @@ def sensitivity(name: str) -> int:
     return 3 if any(b == "key" and a in KEY_OWNERS for a, b in zip(parts, parts[1:], strict=False)) else 2 if parts[-1] == "auth" else 0
 
 
-def look(value: str, quoted: bool) -> int:
-    """What a literal's own form says: -9 for placeholders and prose, up to 3 for long random strings."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def look(head: str, length: int, quoted: bool) -> int:
+    """What a literal's own form says, by its length and its first LOOK characters: -9 for placeholders, up to 3 for long random strings."""
+    if length < 8 or PLACEHOLDER.match(head):
         return -9
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if entropy < 2.0 or kinds < 2 and not (n >= 16 and entropy >= 3.0 and quoted):
+    n = len(head)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(head).values())
+    kinds = sum(any(f(c) for c in head) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if entropy < 2.0 or kinds < 2 and not (length >= 16 and entropy >= 3.0 and quoted):
         return -9
-    if not quoted and not any(c.isdigit() for c in value):
+    if not quoted and not any(c.isdigit() for c in head):
         return -9
-    return 1 + (n >= 16) + (entropy >= 3.5)
+    return 1 + (length >= 16) + (entropy >= 3.5)
+
+
+def lexed(text: str) -> Iterator[re.Match]:
+    """The tokens. A quote that isn't closed (on its line, but for a back quote) is none, nor are the like ones that the search for its end passes over."""
+    at, dead = 0, {}
+    while True:
+        m = LEXERS["".join(q for q in "\"'`" if at >= dead.get(q, 0))].search(text, at)
+        if m is None:
+            return
+        at = m.end()
+        if m.lastgroup != "open":
+            yield m
+        elif m.start() >= dead.get(m[0], 0):
+            end = len(text) if m[0] == "`" else text.find("\n", at)
+            dead[m[0]] = end if end >= 0 else len(text)
 
 
 def _value(text: str, token: re.Match) -> tuple[int, int, bool]:
@@ -80,16 +107,34 @@ def _value(text: str, token: re.Match) -> tuple[int, int, bool]:
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name."""
-    tokens = list(TOKEN.finditer(text))
+    tokens = list(lexed(text))
     constants: dict[str, list[tuple[int, int, bool]]] = {}
     found: set[tuple[int, int]] = set()
+    run = 0, 0  # the last bare literal's span: a part of it ends where it does
+
+    def bare(at: int) -> int:
+        nonlocal run
+        if not run[0] <= at < run[1]:
+            m = BARE.match(text, at)
+            run = m.span() if m else (at, at)
+        return run[1]
+
+    @cache
+    def spaced(a: int, b: int) -> bool:
+        return SPACE.search(text, a, b) is not None
 
     def give(name: str, parts: list[tuple[int, int, bool]]) -> None:
         if not parts:
             return
-        constants[name] = parts[:64]
-        rank, whole = sensitivity(name), "".join(text[a:b] for a, b, _ in parts)
-        if rank and rank + look(whole, any(q for _, _, q in parts)) >= THRESHOLD:
+        constants[name] = parts = list(dict.fromkeys(parts))  # x = x + x doesn't grow
+        rank = sensitivity(name)
+        if not rank or any(spaced(a, b) for a, b, quoted in parts if quoted):
+            return
+        head, length = "", 0
+        for a, b, _ in parts:
+            head += text[a : min(b, a + LOOK - len(head))]
+            length += b - a
+        if rank + look(head, length, any(q for _, _, q in parts)) >= THRESHOLD:
             found.update((a, b) for a, b, _ in parts)
 
     i, n = 0, len(tokens)
@@ -102,7 +147,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         op, j = tokens[i + 1], i + 2
         if op[0] == "]" and tokens[j][0] in ("=", ":", "=>"):  # config["name"] = ...
             op, j = tokens[j], j + 1
-        if j < n and op[0] in ("=", ":", ":=", "=>", "+=") and len(name) <= 256:
+        if j < n and op[0] in ("=", ":", ":=", "=>", "+="):
             parts: list[tuple[int, int, bool]] = list(constants.get(name, [])) if op[0] == "+=" else []
             k = j
             while k < n:
@@ -112,8 +157,8 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 elif v.lastgroup in ("name", "bare") and v[0] in constants:
                     parts += constants[v[0]]
                 elif v.lastgroup in ("name", "bare"):
-                    if k == j and (m := BARE.match(text, v.start())) and "(" != text[m.end() : m.end() + 1]:
-                        parts.append((*m.span(), False))
+                    if k == j and (end := bare(v.start())) > v.start() and text[end : end + 1] != "(":
+                        parts.append((v.start(), end, False))
                     break
                 else:
                     break
@@ -126,7 +171,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             continue
         if t.lastgroup == "name" and op[0] == "(" and tokens[j].lastgroup == "text" and j + 1 < n and tokens[j + 1][0] == ")":
             give(name, [_value(text, tokens[j])])
-        elif t.lastgroup == "name" and op[0] == ">" and i and tokens[i - 1][0] == "<" and (m := re.compile(r"[^\s<>]{1,4096}(?=</)").match(text, op.end())):
+        elif t.lastgroup == "name" and op[0] == ">" and i and tokens[i - 1][0] == "<" and (m := TAGGED.match(text, op.end())):
             give(name, [(*m.span(), True)])
         i += 1
     return sorted(found)

@@ -55,6 +55,40 @@ def test_every_sensitive_name_is_lexed():
     assert [n for n in S.suspects(pa.array(["clean", 'DB_PASS = "Xk29fjq0Lm7"', None, "", "t", "oken"]))][0] == 1
 
 
+def test_scan_finds_what_the_lexer_finds(spark):
+    r = random.Random(11)
+    parts = ["db", "pass", "word", "Pass", "KEY", "key", "api", "Secret", "tok", "en", "user", "auth", "pwd", "code", "phrase", "x", "2", "é", "bearer", "cred", "ential", "private"]
+    ways = ['{} = "{}"', "{}: {}", '"{}": "{}"', "{} => '{}'", "<{0}>{1}</{0}>", '{}("{}")', "{} := `{}`", "export {}={}"]
+    texts = []
+    for _ in range(1500):
+        name = "".join(r.choice(parts) + r.choice(["", "", "_", "-", ".", "__"]) for _ in range(r.randrange(1, 5)))
+        value = "".join(r.choice("abcdefXYZ0123456789/+!") for _ in range(r.choice([4, 9, 14, 40])))
+        texts.append(f"{r.choice(['', 'a b', chr(10)])} {r.choice(ways).format(name, value)} {r.choice(['', 'end', chr(10)])}")
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.spans for x in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: S.joined(S.spans(t)[1]) for i, t in rows}
+    assert got == want and sum(bool(w) for w in want.values()) > 200
+
+
+def test_no_literal_is_too_long(spark):
+    r = random.Random(1)
+    key = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEF0123456789/+") for _ in range(100_000))
+    texts = [f'private_key = "{key}" end', f"private_key: {key}\nend", f"<private_key>{key}</private_key>", f"x{'y' * 5000}_password = '{key}'", 'private_key = ""' + "".join(f'\nprivate_key += "{key[i : i + 50]}"' for i in range(0, 10_000, 50))]
+    for t in texts:
+        masked = S.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().text
+        assert len(masked) < 10_000 and not any(key[i : i + 12] in masked for i in range(0, 9_000, 50))
+
+
+def test_hostile_texts_are_linear():
+    for t in ('\\"' * 200_000, '"' * 200_001, "'" + "a=" * 100_000, "x=" * 100_000, '"""' + "b'" * 100_000, "pass = " + "x + " * 50_000 + "x", "x = 'abcdefgh12'\n" + "x = x + x\n" * 5_000, "`" * 99_999 + "\n" * 1000):
+        assert len(S.lexed_spans(t)) <= 1
+
+
+def test_an_open_quote_hides_nothing():
+    assert lexed("don't worry\napi_secret = 'Zt81mmQp04Lk'") == ["Zt81mmQp04Lk"]
+    assert lexed('say "no\nclient_secret: "Zt81mmQp04Lk" it\'s') == ["Zt81mmQp04Lk"]
+
+
 def test_hashes_in_adjacent_rows(spark):
     texts = ["0123456789abcdef", "fedcba9876543210", "see", "0123456789abcdef00", "", None, "ends in beef", "00112233445566778899 x"]
     assert {0, 1, 3, 7} <= {*S.suspects(pa.array(texts))}
