@@ -139,11 +139,13 @@ class Model:
         return ((at >> U(32)) * U(self.blocks) >> U(32)).astype(np.int64)
 
     def part(self, blocks: dict[int, bytes]) -> Model:
-        """The model with these blocks of the filter only; pairs of other blocks add nothing to its scores."""
-        out, words = copy(self), [np.frombuffer(x, U) for _, x in sorted(blocks.items())]
-        out.held, out.filter = np.array(sorted(blocks), np.int64), np.concatenate([np.zeros(0, U), *words])
-        out.sizes = np.array([len(x) for x in words], U)
-        out.at = np.cumsum(out.sizes.astype(np.int64)) - out.sizes.astype(np.int64)
+        """The model with these blocks of the filter only, which are taken out of the dict; pairs of other blocks add nothing to its scores."""
+        out, held = copy(self), sorted(blocks)
+        sizes = np.array([len(blocks[b]) // 8 for b in held], np.int64)
+        out.held, out.sizes, out.at = np.array(held, np.int64), sizes.astype(U), np.cumsum(sizes) - sizes
+        out.filter = np.empty(int(sizes.sum()), U)
+        for b, at, size in zip(held, out.at.tolist(), sizes.tolist(), strict=True):
+            out.filter[at : at + size] = np.frombuffer(blocks.pop(b), U)  # each is let go once it is in place
         return out
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -311,7 +313,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
     spark, several = docs.sparkSession, parts is None or len(parts) > 1
 
     def broadcast(part: list[int]):
-        found = {r.block: bytes(r.bits) for r in blocks.where(F.col("block").isin(part)).toLocalIterator()} if part else {}
+        found = {r.block: r.bits for r in blocks.where(F.col("block").isin(part)).toLocalIterator()} if part else {}
         return spark.sparkContext.broadcast(model.part(dict.fromkeys(part, EMPTY) | found))
 
     sent = broadcast(parts[0] if parts else [])
