@@ -6,7 +6,7 @@ So an insult with a character put in, or with gaps, still resembles its plain fo
 without its punctuation, if two letters are left, and a run of single characters is also taken as one word.
 A text's similarity to a landmark is that of its most similar word; whole texts are read.
 
-A second fit also learns the rows of label 1 as they would be with a letter put into, or left out of, the landmarks in them, which is what weighs near words; both are scaled on the rows as they are, and the greater score counts.
+A second fit also learns the rows of label 1 as they would be with a letter put into, or left out of, the landmarks in them, which is what weighs near words; the greater of both scores counts.
 
 Learning: of the labelled rows, at most about `sample_rows` (by hash of the id, half of them of each label where there are
 enough) are used. Their words are counted by label; the words most associated with label 1 (by a log-likelihood
@@ -33,6 +33,7 @@ ENDS = "\x02", "\x03"
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\W){3,}[^\W\d_](?!\S)")
 MARKS = re.compile(r"[\W\d_]+")
 CACHE = 1 << 20
+SHARE = 0.25
 DIRECT = 160
 
 
@@ -167,7 +168,7 @@ class Machine:
     """Nystrom's map, the linear machine and the logistic fit of its margins."""
 
     def __init__(self, kernel: Kernel, x: np.ndarray, y: np.ndarray, more: np.ndarray, cost: float = 10.0):
-        """x, y: the labelled rows' features and labels; more: features of further rows of label 1, which a second margin learns too. A margin's scale is learned from the labelled rows alone."""
+        """x, y: the labelled rows' features and labels; more: features of further rows of label 1, which a second margin learns too. In that one's scale they have SHARE of a labelled row's weight."""
         self.kernel = kernel
         base = kernel.features(list(kernel.landmarks)).astype(float)
         values, vectors = np.linalg.eigh((base + base.T) / 2 + 1e-3 * np.eye(len(base))) if len(base) else (np.ones(0), np.zeros((0, 0)))
@@ -180,7 +181,8 @@ class Machine:
             self.fits = [self._scaled(self._fit(z, signs, cost), z, y == 1)]
             if len(more):
                 both = np.concatenate([z, self._expand(more)])
-                self.fits.append(self._scaled(self._fit(both, np.append(signs, np.ones(len(more))), cost), z, y == 1))
+                ones = np.ones(len(more))
+                self.fits.append(self._scaled(self._fit(both, np.append(signs, ones), cost), both, np.append(y == 1, ones), np.append(np.ones(len(y)), SHARE * ones)))
         elif len(y):
             rate = min(max((ones + 0.5) / (len(y) + 1), 1e-3), 1 - 1e-3)
             self.fits = [(self.fits[0][0], 0.0, float(np.log(rate / (1 - rate))))]
@@ -199,13 +201,13 @@ class Machine:
             w = new
         return w
 
-    def _scaled(self, w: np.ndarray, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float, float]:
+    def _scaled(self, w: np.ndarray, z: np.ndarray, t: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, float, float]:
         m = z @ w
         ab = np.array([1.0, 0.0])
         design = np.stack([m, np.ones_like(m)], 1)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ ab, -30, 30)))
-            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (t - p) - 1e-3 * ab)
+            step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (weight * (t - p)) - 1e-3 * ab)
             ab = ab + np.clip(step, -2, 2)
         return w, float(ab[0]), float(ab[1])
 
