@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -78,18 +77,52 @@ def overlap_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.groupBy("file", "speaker", "other").agg(F.round(F.sum(X.overlap(F.col("start_s"), F.col("end_s"), F.col("o_start"), F.col("o_end"))), 3).alias("seconds"))
 
 
+def best_assignment(gain: list[list[int]]) -> list[int]:
+    """The column of each row (no more rows than columns) with the greatest total gain, all columns different; of equal totals the first in order of columns.
+
+    Shortest augmenting paths with potentials; a row's place in the order is a fraction of the least difference of gains, in whole numbers.
+    """
+    n, m = len(gain), len(gain[0]) if gain else 0
+    cost = [[-g * (m + 1) ** n + j * (m + 1) ** (n - 1 - i) for j, g in enumerate(row)] for i, row in enumerate(gain)]
+    u, v, row_of = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least: list[int | None] = [None] * (m + 1)
+        back, done = [0] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            done[at], row, step, to = True, row_of[at], None, 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                here = cost[row - 1][j - 1] - u[row] - v[j]
+                if least[j] is None or here < least[j]:
+                    least[j], back[j] = here, at
+                if step is None or least[j] < step:
+                    step, to = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = to
+        while at:
+            row_of[at] = row_of[back[at]]
+            at = back[at]
+    return [j - 1 for _, j in sorted((row_of[j], j) for j in range(1, m + 1) if row_of[j])]
+
+
 def speaker_mapping(matrix: DataFrame) -> DataFrame:
-    """The assignment of hypothesis speakers to reference ones with the greatest total overlap; with fewer references each takes its best."""
+    """matrix(file, speaker, other, seconds) -> the assignment of hypothesis speakers to reference ones with the greatest total overlap, in whole milliseconds; with
+    fewer references each takes its best (the first of equal ones). One file's speakers are one small group."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        seconds = {(r["speaker"], r["other"]): r["seconds"] for r in rows}
+        shared = {(r["speaker"], r["other"]): round(1000 * r["seconds"]) for r in rows}
         hyps, refs = sorted({r["speaker"] for r in rows}), sorted({r["other"] for r in rows})
-        if len(refs) < len(hyps) or len(hyps) > 8:
-            pick = [max(refs, key=lambda o: (seconds.get((h, o), 0.0))) for h in hyps]
-        else:
-            pick = max(permutations(refs, len(hyps)), key=lambda p: sum(seconds.get(x, 0.0) for x in zip(hyps, p, strict=True)))
-        return pa.table({"file": group.column("file")[:1].to_pylist() * len(hyps), "speaker": hyps, "mapped": list(pick)}, schema=pa.schema([("file", group.schema.field("file").type), ("speaker", pa.string()), ("mapped", pa.string())]))
+        gain = [[shared.get((h, o), 0) for o in refs] for h in hyps]
+        pick = [g.index(max(g)) for g in gain] if len(refs) < len(hyps) else best_assignment(gain)
+        return pa.table({"file": group.column("file")[:1].to_pylist() * len(hyps), "speaker": hyps, "mapped": [refs[j] for j in pick]}, schema=pa.schema([("file", group.schema.field("file").type), ("speaker", pa.string()), ("mapped", pa.string())]))
 
     kind = matrix.schema["file"].dataType.simpleString()
     return matrix.groupBy("file").applyInArrow(run, f"file {kind}, speaker string, mapped string")
@@ -115,21 +148,130 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
     return each.groupBy("file").agg(total(F.col("nr")).alias("spoken"), total(F.greatest(F.lit(0), F.col("nr") - F.col("nh"))).alias("missed"), total(F.greatest(F.lit(0), F.col("nh") - F.col("nr"))).alias("false_alarm"), total(F.least("nr", "nh") - F.col("ok")).alias("confusion"))
 
 
-def word_errors(pairs: DataFrame) -> DataFrame:
-    """pairs(id, reference, hypothesis) -> substitutions, deletions, insertions and the error rate of lower-case word tokens."""
+def diarization_rates(errors: DataFrame) -> DataFrame:
+    """Errors in seconds -> shares of the spoken time, their sum (the error rate), and confusion against the time that was detected at all; 0 where nothing was spoken."""
+    share = lambda c, of: F.round(F.coalesce(F.try_divide(c, of), F.lit(0.0)), 4)
+    spoken, detected = F.nullif("spoken", F.lit(0.0)), F.when(F.col("spoken") > F.col("missed"), F.col("spoken") - F.col("missed"))
+    parts = {f"{n}_rate": share(F.col(n), spoken) for n in ("missed", "false_alarm", "confusion")}
+    return errors.select("file", share(F.col("missed") + F.col("false_alarm") + F.col("confusion"), spoken).alias("error_rate"), *[c.alias(n) for n, c in parts.items()], share(F.col("confusion"), detected).alias("attribution_error"))
+
+
+def basic_text(text: Column) -> Column:
+    """Lower case, signs as blanks, blanks collapsed."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
+# What spoken English contracts, fillers, and names of products that recognisers write apart.
+CONTRACTIONS = [("won't", "will not"), ("can't", "can not"), ("let's", "let us"), ("n't", " not"), ("'re", " are"), ("'ll", " will"), ("'ve", " have"), ("'m", " am"), ("'d", " would"), ("'s", " is")]
+FILLERS = ["hmm", "mm", "mhm", "mmm", "uh", "um"]
+COMPOUNDS = [("pg vector", "pgvector"), ("pg mustard", "pgmustard"), ("hypr land", "hyprland"), ("hyper land", "hyprland"), ("co wos", "cowos"), ("cap ex", "capex"), ("open ai", "openai")]
+
+
+def english_text(text: Column) -> Column:
+    """A text as a listener would write it, for error rates: without what is in brackets, fillers, and commas in numbers; contractions in full; compounds together. Numbers and spellings stay as they are."""
+    out = F.regexp_replace(F.lower(text), "[’‘`]", "'")
+    out = F.regexp_replace(F.regexp_replace(out, r"[<\[][^>\]]*[>\]]|\([^)]*\)", ""), rf"\b(?:{'|'.join(FILLERS)})\b", "")
+    for short, full in CONTRACTIONS:
+        out = F.regexp_replace(out, rf"{short}\b", full)
+    out = basic_text(F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", ""))
+    for apart, name in COMPOUNDS:
+        out = F.regexp_replace(out, rf"\b{apart.replace(' ', ' +')}\b", name)
+    return out
+
+
+def word_errors(pairs: DataFrame, normal=None) -> DataFrame:
+    """pairs(id, reference, hypothesis) -> substitutions, deletions, insertions and the error rate of lower-case word tokens, or of the blank-separated words that normal(column) leaves."""
+    if normal is not None:
+        pairs = pairs.select("id", *[normal(F.col(c)).alias(c) for c in ("reference", "hypothesis")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = T.WORD.findall if normal is None else str.split
         for b in batches:
             out = []
             for i, r, h in zip(*(b.column(c).to_pylist() for c in ("id", "reference", "hypothesis")), strict=True):
-                ref = T.WORD.findall((r or "").lower())
-                s, d, n = T.word_errors(ref, T.WORD.findall((h or "").lower()))
+                ref = words((r or "").lower())
+                s, d, n = T.word_errors(ref, words((h or "").lower()))
                 out.append((i, s, d, n, (s + d + n) / len(ref) if ref else 0.0))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.float64() if k == 4 else pa.int64()) for k in range(5)], ["id", "substitutions", "deletions", "insertions", "wer"])
 
     return pairs.select("id", "reference", "hypothesis").mapInArrow(run, "id long, substitutions long, deletions long, insertions long, wer double")
 
 
+def speaker_words(turns: DataFrame) -> Column:
+    """Aggregate: a file's tokens (with apostrophes) as structs of place, word and speaker, in order; turns(file, place, speaker, text)."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_'’]+)"), F.lit(1))
+    return F.array_sort(F.collect_list(F.struct("place", F.col("speaker").alias("speaker"), found.alias("words"))))
+
+
+def speaker_accuracy(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """(file, place, speaker, text) twice, hypothesis speakers already mapped -> how many of the words that align have the right speaker, and how much of the reference aligns."""
+    side = lambda d, name: d.groupBy("file").agg(speaker_words(d).alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for file, ref, hyp in zip(*(b.column(c).to_pylist() for c in ("file", "ref", "hyp")), strict=True):
+                r, h = ([(w, t["speaker"]) for t in side or () for w in t["words"]] for side in (ref, hyp))
+                pairs = T.aligned_pairs([w for w, _ in r], [w for w, _ in h])
+                right = sum(r[i][1] == h[j][1] for i, j in pairs)
+                out.append((file, len(r), len(h), len(pairs), right, round(right / len(pairs), 4) if pairs else 0.0, round(len(pairs) / len(r), 4) if r else 0.0))
+            kinds = (b.schema.field("file").type, *(pa.int64(),) * 4, *(pa.float64(),) * 2)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["file", "n_reference", "n_hypothesis", "n_aligned", "n_right", "accuracy", "coverage"])
+
+    both = side(reference, "ref").join(side(hypothesis, "hyp"), "file", "left")
+    return both.mapInArrow(run, f"file {both.schema['file'].dataType.simpleString()}, n_reference long, n_hypothesis long, n_aligned long, n_right long, accuracy double, coverage double")
+
+
+def assertion(queries: DataFrame, results: DataFrame, hits: DataFrame, negatives: DataFrame) -> DataFrame:
+    """queries(qid, category), results and negatives as in near_miss, hits of moment_hits -> each query's score, whether it passes, and the first rule it fails: no results, a hard negative
+    first, or no moment found. The score is the share of moments found; a multi_file query passes with all of them, others with one."""
+    top = results.where("rank = 1").select("qid", "file", F.col("start_s").alias("r_start"), F.col("end_s").alias("r_end"))
+    met = X.strict_match(F.col("r_start"), F.col("r_end"), F.col("start_s"), F.col("end_s"))
+    bad = top.join(negatives, ["qid", "file"]).where(met).select("qid").distinct().withColumn("bad", F.lit(True))
+    found = hits.groupBy("qid").agg(F.count("rank").alias("found"), F.count(F.lit(1)).alias("moments"), F.min("rank").alias("first"))
+    joined = queries.join(top.select("qid", F.lit(True).alias("any")), "qid", "left").join(bad, "qid", "left").join(found, "qid", "left")
+    n = F.coalesce("found", F.lit(0))
+    rule = F.when(F.col("any").isNull(), "no_results").when(F.col("bad"), "near_miss").when(n == 0, "not_found")
+    passed = rule.isNull() & ((F.col("category") != "multi_file") | (n == F.col("moments")))
+    score = F.when(rule.isNull(), F.round(n / F.col("moments"), 6)).otherwise(0.0)
+    return joined.select("qid", F.coalesce(passed, F.lit(False)).alias("passed"), score.alias("score"), rule.alias("rule"), F.when(rule.isNull(), F.col("first")).alias("first_rank"))
+
+
+PUNCTUATION = ".,!?;:\"'“”‘’()[]…-–—"
+
+
+def located(text: str, words: list[str]) -> list[tuple[int, int]] | None:
+    """Character ranges of words that stand in a text in order, without their outer signs where only that is found; null if one isn't there."""
+    out, at = [], 0
+    for word in words:
+        place = next(((p, w) for w in (word, word.strip(PUNCTUATION)) if w and (p := text.find(w, at)) >= 0), None)
+        if place is None:
+            return None
+        at = place[0] + len(place[1])
+        out.append((place[0], at))
+    return out
+
+
+def tightened(moments: DataFrame) -> DataFrame:
+    """moments(id, text, matched_text, start_s, end_s, words array<struct<word,start_s,end_s>>): a turn's text, times and aligned words, and the words of it that a moment quotes
+    -> id, start_s, end_s: the time of the quoted words, inside the turn, to a hundredth. Null where the quotation or a word isn't in the text, or no quoted word has times."""
+
+    def span(row: dict) -> tuple[float, float] | None:
+        text, quoted, words = row["text"] or "", row["matched_text"] or "", row["words"] or []
+        low = text.find(quoted)
+        ranges = located(text, [w["word"] for w in words]) if quoted and low >= 0 else None
+        inside = [w for w, (a, b) in zip(words, ranges or (), strict=False) if a < low + len(quoted) and b > low]
+        since, until = [w["start_s"] for w in inside if w["start_s"] is not None], [w["end_s"] for w in inside if w["end_s"] is not None]
+        return (round(max(min(since), row["start_s"]), 2), round(min(max(until), row["end_s"]), 2)) if since and until else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [span(r) or (None, None) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], ["id", "start_s", "end_s"])
+
+    return moments.select("id", "text", "matched_text", "start_s", "end_s", "words").mapInArrow(run, "id long, start_s double, end_s double")
+
+
 def aligned(pairs: DataFrame) -> DataFrame:
     """pairs(id, reference, hypothesis) -> the number of aligned tokens and the share of the reference that they cover."""
 

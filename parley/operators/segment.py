@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,50 +50,46 @@ def _ends(word: str) -> bool:
 
 def sentence_spans(t: Timed) -> list[tuple[int, int]]:
     """Word ranges of a turn's sentences: at punctuation; too long ones at their longest pause (the later of equal ones), else after 30 words; fragments joined to what is before them."""
-    cuts = [0, *(i + 1 for i, w in enumerate(t.word) if _ends(w))]
-    cuts += [len(t.word)] if cuts[-1] != len(t.word) else []
-    done: list[tuple[int, int]] = []
-    todo = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)][::-1]
-    while todo:  # a stack, so that a long turn can't exhaust recursion
-        a, b = todo.pop()
-        if b - a <= MOST_WORDS and t.seconds(a, b) <= MOST_SECONDS:
-            done.append((a, b))
-            continue
-        pauses = [(t.start[i] - t.end[i - 1], i) for i in range(a + LEAST_WORDS, b - LEAST_WORDS + 1)]
-        gap, at = max(pauses, default=(-1.0, -1))
-        if gap < LEAST_PAUSE:
-            if b - a <= MOST_WORDS:
-                done.append((a, b))
-                continue
-            at = a + MOST_WORDS
-        todo += [(at, b), (a, at)]
-    out: list[tuple[int, int]] = []
-    for a, b in done:
-        if out and min(b - a, out[-1][1] - out[-1][0]) < LEAST_WORDS:
-            out[-1] = out[-1][0], b
-        else:
-            out.append((a, b))
-    return out
+    n = len(t.word)
+    cuts = {0, n, *(i + 1 for i, w in enumerate(t.word) if _ends(w))}
+    open_ = list(pairwise(sorted(cuts)))
+    while open_:  # every cut leaves two parts that may be too long again
+        a, b = open_.pop()
+        if (cut := _cut(t, a, b)) is not None:
+            cuts.add(cut)
+            open_ += (a, cut), (cut, b)
+    kept = [0]
+    for cut, after in pairwise(sorted(cuts)[1:]):  # a cut stays if neither what it ends nor what it begins is a fragment
+        if min(cut - kept[-1], after - cut) >= LEAST_WORDS:
+            kept.append(cut)
+    return list(pairwise([*kept, n])) if n else []
+
+
+def _cut(t: Timed, a: int, b: int) -> int | None:
+    """Where words a to b are cut, None if they stay together."""
+    many = b - a > MOST_WORDS
+    if not many and t.seconds(a, b) <= MOST_SECONDS:
+        return None
+    longest = max(((t.start[i] - t.end[i - 1], i) for i in range(a + LEAST_WORDS, b - LEAST_WORDS + 1)), default=(0.0, 0))
+    if longest[0] >= LEAST_PAUSE:
+        return longest[1]
+    return a + MOST_WORDS if many else None
 
 
 def window_spans(starts: list[float], ends: list[float], seconds: float = WINDOW_SECONDS) -> list[tuple[int, int]]:
-    """Sentence ranges (ends exclusive) of windows that fit in `seconds`, each beginning with the last sentence of the one before unless that one is a lone sentence; a short last window is folded in."""
-    n, out, first, shared = len(starts), [], 0, False
-    while first < n:
-        last = first + shared
-        while last + 1 < n and ends[last + 1] - starts[first] <= seconds:
-            last += 1
-        out.append((first, last + 1))
-        if last == n - 1:
-            break
-        shared = last > first
-        first = last if shared else last + 1
-    if len(out) > 1:
-        (a, b), (c, d) = out[-2:]
-        fresh = c + (c == b - 1)
-        if ends[-1] - starts[fresh] < seconds / 3 and ends[-1] - starts[a] <= seconds * STRETCH:
-            out[-2:] = [(a, d)]
-    return out
+    """Sentence ranges (ends exclusive) of windows that fit in `seconds`, each beginning with the last sentence of the one before unless that one is a lone sentence; a short last window is folded in.
+
+    Sentences end in order, so a window's end is found by bisection.
+    """
+    n, spans = len(starts), [(0, 0)]
+    while (stop := spans[-1][1]) < n:
+        begin = stop - 1 if stop - spans[-1][0] > 1 else stop
+        spans.append((begin, max(stop + 1, bisect_right(ends, seconds, begin, key=lambda e: e - starts[begin]))))  # noqa: B023
+    if len(spans) > 2:
+        head, stop = spans[-2]
+        if ends[-1] - starts[stop] < seconds / 3 and ends[-1] - starts[head] <= seconds * STRETCH:
+            spans[-2:] = [(head, n)]
+    return spans[1:]
 
 
 def _turns(words: DataFrame) -> DataFrame:

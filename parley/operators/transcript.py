@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import expressions as X
@@ -161,3 +161,38 @@ def wildcard_words(words: DataFrame, alphabet: str = "abcdefghijklmnopqrstuvwxyz
     """Words that have letters, none of which the aligner knows."""
     letters = F.lower(F.col("word"))
     return words.where(letters.rlike(r"\p{L}") & ~letters.rlike(f"[{alphabet}]")).select("conv_id", "pos", "word")
+
+
+def segment_words(segments: DataFrame) -> DataFrame:
+    """segments(conv_id, turn, text, start_s, end_s, words array<struct<word,start_s,end_s>>) -> (conv_id, turn, pos, word, start_s, end_s, bound_start, bound_end): a segment's words, or, where the aligner gave none, the
+    words of its text without times, for interpolate to spread."""
+    empty = F.transform(F.filter(F.split(F.btrim("text"), r"\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s")))
+    words = F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s")))).otherwise(empty)
+    flat = segments.select("conv_id", "turn", F.col("start_s").alias("bound_start"), F.col("end_s").alias("bound_end"), F.posexplode(words).alias("pos", "w"))
+    return flat.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "w.word", "w.start_s", "w.end_s", "bound_start", "bound_end")
+
+
+def sample_windows(turns: DataFrame, per_speaker: int = 3, least: float = 4.0, most: float = 15.0, fallback: float = 1.0) -> DataFrame:
+    """turns(conv_id, turn_id, speaker, is_short_turn, words array<struct<word,start_s,end_s,confidence>>) -> sample windows of each speaker: a turn's words until `most` seconds from its start (one
+    at least), with their mean confidence (0 without any). Windows of `least` seconds count; where a speaker has fewer than per_speaker of them, the longest shorter ones
+    of `fallback` seconds come too."""
+    begin = F.get("words", F.lit(0))["start_s"]
+    fitting = F.filter("words", lambda w: w["end_s"] - begin <= most)
+    picked = turns.where(~F.col("is_short_turn") & (F.size("words") > 0)).withColumn("picked", F.when(F.size(fitting) > 0, fitting).otherwise(F.slice("words", 1, 1)))
+    known = F.filter(F.transform("picked", lambda w: w["confidence"].cast("double")), lambda c: c.isNotNull())
+    mean = F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda t, c: t + c), F.size(known)), F.lit(0.0))
+    window = picked.select("conv_id", "speaker", "turn_id", F.round(begin, 3).alias("start_s"), F.round(F.element_at("picked", -1)["end_s"], 3).alias("end_s"), F.array_join(F.transform("picked", lambda w: w["word"]), " ").alias("text"), F.round(mean, 6).alias("score"))
+    length = F.round(F.col("end_s") - F.col("start_s"), 6)
+    own = Window.partitionBy("conv_id", "speaker")
+    sized = window.withColumn("full", length >= least).where(length >= fallback).withColumn("n_full", F.count_if(F.col("full")).over(own))
+    place = F.row_number().over(own.orderBy(F.desc("full"), F.desc(F.when(~F.col("full"), length)), "turn_id"))
+    return sized.withColumn("place", place).where(F.col("full") | (F.col("place") <= per_speaker)).drop("full", "n_full", "place")
+
+
+def shaded(words: Column, start: Column, end: Column) -> Column:
+    """HTML of words (an array of structs word, start_s, end_s): signs escaped, runs that a clip overlaps in <span class="clip">; a word that only touches the clip isn't in it."""
+    escaped = lambda w: F.replace(F.replace(F.replace(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    inside = F.transform(words, lambda w: (w["start_s"] < end) & (start < w["end_s"]))
+    at = lambda i: F.coalesce(F.get(inside, i), F.lit(False))
+    piece = lambda w, i: F.concat(F.when(at(i) & ~at(i - 1), '<span class="clip">').otherwise(""), escaped(w["word"]), F.when(at(i) & ~at(i + 1), "</span>").otherwise(""))
+    return F.array_join(F.transform(words, piece), " ")

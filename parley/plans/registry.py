@@ -79,7 +79,7 @@ def bm25_keywords(spark, sf):
 
 @query()
 def bm25_stemmed(spark, sf):
-    return long_rank(retrieve.ranked(retrieve.bm25(corpus(spark, sf), items(spark, sf), tokenize=retrieve.stems), 20))
+    return long_rank(retrieve.ranked(retrieve.bm25(corpus(spark, sf), items(spark, sf), stemmed=True), 20))
 
 
 @query(f"WITH {O.KEYWORDS}, {O.TRIGRAM} {O.top('trigram', 50)}")
@@ -444,21 +444,6 @@ def turn_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return turns, intervals_of(words).select(F.col("conv_id").alias("file"), "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
 
 
-@query()
-def speaker_mapping(spark, sf):
-    return E.speaker_mapping(E.overlap_matrix(*turn_tables(spark, sf)))
-
-
-@query()
-def diarization_error(spark, sf):
-    return E.diarization_error(*turn_tables(spark, sf))
-
-
-@query()
-def diarization_error_collar(spark, sf):
-    return E.diarization_error(*turn_tables(spark, sf), collar=0.25)
-
-
 def _turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     other = F.regexp_replace(F.lower("text"), r"\bth", "d")
@@ -534,11 +519,11 @@ def label_swap(spark, sf):
     return index.swapped(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("label"), F.upper("role").alias("name")).distinct())
 
 
-@query("""WITH s AS (SELECT turn AS label, conv_id AS file, trim(regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r]+', ' ', 'g')) AS name FROM conversations), t AS (SELECT file, lower(name) AS k, count(*) AS times FROM s GROUP BY ALL)
+@query("""WITH s AS (SELECT turn AS label, conv_id AS file, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS name FROM conversations), t AS (SELECT file, lower(name) AS k, count(*) AS times FROM s GROUP BY ALL)
 SELECT s.file, s.label, s.name, CASE WHEN coalesce(length(name), 0) = 0 THEN 'empty' WHEN length(name) > 80 THEN 'long' WHEN times > 1 THEN 'repeated' END AS rule FROM s LEFT JOIN t ON t.file = s.file AND t.k = lower(s.name)""")
 def name_rules(spark, sf):
-    """Names as someone might paste them: the first 100 signs of each turn."""
-    return index.valid_names(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("label"), F.substring("text", 1, 100).alias("name")))
+    """Turns as names that someone might paste."""
+    return index.valid_names(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("label"), F.col("text").alias("name")))
 
 
 SEGMENTS = "seg AS (SELECT label AS file, vec_id AS segment, CASE WHEN embedding[1] > 0 THEN 'S1' ELSE 'S2' END AS speaker, (vec_id % 10)::DOUBLE AS seconds, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i > 2 THEN x + 1e-1 ELSE x END) AS v FROM embeddings)"
@@ -574,15 +559,15 @@ def vector_mean(spark, sf):
 
 # Data rules, sets, sources
 
-SPLITS = "sq AS (SELECT 'dev' AS split, item_id AS qid, text FROM benchmark UNION ALL SELECT 'test', doc_id, text FROM documents)"
-
-
-@query(r"""WITH sq AS (SELECT 'dev' AS split, item_id AS qid, text FROM benchmark UNION ALL SELECT 'test', doc_id, text FROM documents),
+@query(r"""WITH sq AS (SELECT 'dev' AS split, item_id AS qid, text FROM benchmark UNION ALL SELECT 'test', item_id, CASE WHEN item_id % 3 = 0 THEN ' ' || replace(text, ' ', '  ') || ' ?!' ELSE text || ' more' END FROM benchmark UNION ALL SELECT 'test', doc_id, text FROM documents),
 k AS (SELECT split, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N} \n\t]', '', 'g'), '[ \n\t]+', ' ', 'g')) AS key FROM sq)
 SELECT key, count(DISTINCT split) AS n_splits, count(*) AS n_queries FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT split) > 1""")
 def repeated_queries(spark, sf):
+    """Benchmark items as one split; in the other every third one is repeated with other blanks and signs, beside longer ones and documents."""
     dev = items(spark, sf).select(F.lit("dev").alias("split"), "qid", "text")
-    return E.repeated(dev.unionByName(corpus(spark, sf).select(F.lit("test").alias("split"), F.col("id").alias("qid"), "text")))
+    again = F.when(F.col("qid") % 3 == 0, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" ?!"))).otherwise(F.concat("text", F.lit(" more")))
+    other = items(spark, sf).select(F.lit("test").alias("split"), "qid", again.alias("text"))
+    return E.repeated(dev.unionByName(other).unionByName(corpus(spark, sf).select(F.lit("test").alias("split"), F.col("id").alias("qid"), "text")))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user' INTERSECT SELECT conv_id - 1 AS conv_id, turn FROM conversations WHERE role = 'user'")

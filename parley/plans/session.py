@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -26,3 +30,27 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], object]) -> object:
+    """What action() gives, if its jobs end in time; else they are cancelled and TimeoutError is raised."""
+    context, tag = spark.sparkContext, f"within-{uuid.uuid4().hex}"
+    late, done = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+        while not done.wait(0.2):  # an action has several jobs, and planning between them
+            context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    threading.Thread(target=watch, daemon=True).start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set() and (isinstance(e, PySparkException) or "cancel" in str(e).lower()):
+            raise TimeoutError(f"not done in {seconds} s") from e
+        raise
+    finally:
+        done.set()
+        context.removeJobTag(tag)

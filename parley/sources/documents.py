@@ -19,6 +19,7 @@ CANONICAL = f"file_id string, audio_duration_seconds double, speaker_labels arra
 GROUND_TRUTH = "file_id string, title string, domain string, duration_seconds double, speakers array<struct<id:string,role:string>>, turns array<struct<turn_id:long,speaker:string,start_time:double,end_time:double,text:string>>"
 _MOMENT = "file_id:string,turn_id:long,speaker:string,start_seconds:double,end_seconds:double,matched_text:string"
 QRELS = f"split string, total_queries long, queries array<struct<query_id:string,category:string,query:string,style:string,relevant_moments:array<struct<{_MOMENT},alternatives:array<struct<{_MOMENT}>>>>,hard_negatives:array<struct<file_id:string,turn_id:long,speaker:string,start_seconds:double,end_seconds:double,reason:string>>>>"
+# Types of audio and video that may be uploaded.
 EXTENSIONS = ("wav", "mp3", "m4a", "flac", "ogg", "opus", "aac", "mp4", "webm")
 
 
@@ -114,35 +115,105 @@ def evaluation_config(queries: DataFrame) -> dict:
     return {"prompts": ["{{query}}"], "tests": [{"description": r["query_id"], "vars": r} for r in rows]}
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files of allowed types that aren't empty, with an id from their content: files of equal content have one id."""
-    files = spark.read.format("binaryFile").load(path)
+def files_with_content(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of every file that a path or pattern names. Spark's own listing leaves out empty files, so the file system is asked for the names."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getPath().toString(), f.getLen()) for top in fs.globStatus(pattern) or [] for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile()]
+    names = spark.createDataFrame(found, "path string, length long")
+    if not any(size for _, size in found):
+        return names.withColumn("content", F.lit(b""))
+    read = spark.read.format("binaryFile").load(path).select(_plain("path").alias("p"), "content")
+    return names.join(read, _plain("path") == F.col("p"), "left").select("path", "length", F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def _plain(path: str):
+    """A path without what differs between listings: the slashes after the scheme."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def write_evaluation_config(path: str, queries: DataFrame) -> dict:
+    """The config as JSON and, beside it, as YAML (of which JSON text is a part), both read again and compared."""
+    config = evaluation_config(queries)
+    for name in (f"{path}.json", f"{path}.yaml"):
+        write_json(name, config)
+        with open(name, encoding="utf-8") as f:
+            if json.load(f) != config:
+                raise ValueError(f"{name} doesn't hold the queries")
+    return config
+
+
+def result_path(folder: str, split: str, one_time: set[str], label: str | None = None) -> str:
+    """Where a split's results go. A one-time split has one official file; what is run after it needs a label and never takes its name."""
+    official = f"{folder}/final_{split}.json"
+    if split not in one_time or not os.path.exists(official):
+        return official if label is None else f"{folder}/{split}_{label}.json"
+    if not label:
+        raise FileExistsError(f"{official}: {split} was run; name the rerun")
+    return f"{folder}/{split}_rerun_{label}.json"
+
+
+def uploads(spark: SparkSession, path: str, most_seconds: float = 600.0, least_seconds: float = 10.0) -> DataFrame:
+    """(path, sha256, file_id, seconds, rule): files with an id from their content, so that files of equal content have one id, and the rule each breaks: type (of EXTENSIONS), empty, audio (a WAV that can't be read) or
+    duration. Other audio than WAV needs a decoder outside Spark; its seconds are null."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    rule = F.when(~kind.isin(*EXTENSIONS), "type").when(F.col("length") == 0, "empty")
-    sha = F.sha2("content", 256)
-    return files.select("path", sha.alias("sha256"), F.concat(F.lit("upload_"), F.substring(sha, 1, 16)).alias("file_id"), rule.alias("rule"))
+    found = files_with_content(spark, path).withColumns({"kind": kind, "sha256": F.sha2("content", 256)})
+    facts = found.where("kind = 'wav' AND length > 0").select("path", "content").mapInArrow(_wav_headers, WAV)
+    joined = found.drop("content").join(facts.select("path", "rate", "seconds"), "path", "left")
+    of_wav = F.col("kind") == "wav"
+    rule = F.when(~F.col("kind").isin(*EXTENSIONS), "type").when(F.col("length") == 0, "empty").when(of_wav & F.col("rate").isNull(), "audio").when(of_wav & ~F.col("seconds").between(least_seconds, most_seconds), "duration")
+    return joined.select("path", "sha256", F.concat(F.lit("upload_"), F.substring("sha256", 1, 16)).alias("file_id"), "seconds", rule.alias("rule"))
+
+
+def to_standard_wav(content: bytes, most_seconds: float = 601.0, rate: int = 16_000) -> bytes:
+    """A PCM WAV of 8, 16, 24 or 32 bits as 16 kHz, mono, 16 bits: channels averaged, linearly resampled, cut after most_seconds."""
+    with wave.open(BytesIO(content)) as w:
+        channels, width, was = w.getnchannels(), w.getsampwidth(), w.getframerate()
+        raw = np.frombuffer(w.readframes(min(w.getnframes(), int(most_seconds * was))), np.uint8).reshape(-1, width)
+    padded = np.zeros((len(raw), 4), np.uint8)
+    padded[:, 4 - width :] = raw ^ 128 if width == 1 else raw
+    mono = (padded.view("<i4")[:, 0] / 2**31).reshape(-1, channels).mean(1)
+    n = int(len(mono) * rate / was)
+    resampled = np.interp(np.arange(n) * was / rate, np.arange(len(mono)), mono) if len(mono) else mono
+    out = BytesIO()
+    with wave.open(out, "wb") as o:
+        o.setparams((1, 2, rate, 0, "NONE", ""))
+        o.writeframes(np.clip(np.rint(resampled * 32767), -32768, 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+WAV = "path string, rate long, channels long, width long, seconds double"
+
+
+def _wav_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            try:
+                with wave.open(BytesIO(data or b"")) as w:
+                    out.append((p, w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes() / w.getframerate()))
+            except (wave.Error, EOFError, ZeroDivisionError):
+                out.append((p, None, None, None, None))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["path", "rate", "channels", "width", "seconds"])
 
 
 def wav_facts(spark: SparkSession, path: str, most_seconds: float = 600.0, least_seconds: float = 10.0) -> DataFrame:
-    """Rate, channels, bytes a sample, seconds and hash of WAV files, and the rule each breaks: wav, format (16 kHz, mono, 16 bit) or duration."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    with wave.open(BytesIO(data)) as w:
-                        out.append((p, w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes() / w.getframerate()))
-                except (wave.Error, EOFError):
-                    out.append((p, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["path", "rate", "channels", "width", "seconds"])
-
-    files = spark.read.format("binaryFile").load(path)
-    facts = files.select("path", "content").mapInArrow(run, "path string, rate long, channels long, width long, seconds double")
+    """Rate, channels, bytes a sample, seconds and hash of WAV files, empty ones too, and the rule each breaks: wav, format (16 kHz, mono, 16 bit) or duration."""
+    files = files_with_content(spark, path)
+    facts = files.select("path", "content").mapInArrow(_wav_headers, WAV)
     rule = F.when(F.col("rate").isNull(), "wav").when((F.col("rate") != 16000) | (F.col("channels") != 1) | (F.col("width") != 2), "format").when(~F.col("seconds").between(least_seconds, most_seconds), "duration")
     return facts.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path").withColumn("rule", rule)
 
 
+def verified(facts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """wav_facts against manifest(name, rate, channels, seconds, sha256) by file name -> (name, rule): missing, hash, rate, channels or seconds (more than a hundredth off), or the file's own rule; null where all is well."""
+    f = facts.withColumn("name", F.substring_index("path", "/", -1)).select("name", *[F.col(c).alias(f"f_{c}") for c in ("rate", "channels", "seconds", "sha256", "rule")], F.lit(True).alias("there"))
+    m = manifest.join(f, "name", "left")
+    rule = F.when(F.col("there").isNull(), "missing").when(F.col("f_rule").isNotNull(), F.col("f_rule")).when(F.col("sha256") != F.col("f_sha256"), "hash")
+    rule = rule.when(F.col("rate") != F.col("f_rate"), "rate").when(F.col("channels") != F.col("f_channels"), "channels").when(F.abs(F.col("seconds") - F.col("f_seconds")) > 0.01, "seconds")
+    return m.select("name", rule.alias("rule"))
+
+
 def clip_wav(content: bytes, start: float, end: float, margin: float = 0.15) -> bytes:
     """The WAV of a part of a WAV, `margin` seconds wider on both sides and kept inside it."""
     with wave.open(BytesIO(content)) as w:

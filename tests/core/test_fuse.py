@@ -27,27 +27,29 @@ def spans(spark, rows, **options):
 
 
 def test_growth(spark):
-    four = [(0.0, 4.0, 0.1, True), (4.0, 8.0, 0.9, True), (8.0, 12.0, 1.0, True), (12.0, 16.0, 0.2, True)]
-    assert spans(spark, four) == [(1, 2)]
-    short = [(0.0, 1.0, 0.1, True), (1.0, 2.0, 1.0, True), (2.0, 3.0, 0.1, True)]
-    assert spans(spark, short) == [(0, 1)]
-    assert spans(spark, [(0.0, 15.0, 1.0, True), (15.0, 30.0, 1.0, True)]) == [(0, 0)]
-    assert spans(spark, [(0.0, 5.0, 1.0, False), (5.0, 10.0, 0.5, True), (10.0, 15.0, 0.1, True)]) == [(0, 1)]
+    row = lambda *parts: [(a, b, s, e) for (a, b), s, e in parts]
+    even = row(((0.0, 3.0), 0.85, True), ((3.0, 6.0), 0.2, True), ((6.0, 9.0), 0.95, True), ((9.0, 12.0), 0.8, True), ((12.0, 15.0), 0.9, True))
+    assert spans(spark, even) == [(2, 4)]
+    assert spans(spark, even, most=2) == [(2, 3)] and spans(spark, even, longest=5.0) == [(2, 2)]
+    brief = row(((0.0, 0.5), 0.0, True), ((0.5, 1.2), 0.7, True), ((1.2, 1.6), 0.0, True))
+    assert spans(spark, brief) == [(0, 2)]  # the left of equal neighbours first, and on while under two seconds
+    assert spans(spark, row(((0.0, 12.0), 0.6, True), ((12.0, 23.0), 0.6, True))) == [(0, 0)]
+    assert spans(spark, row(((0.0, 6.0), 0.4, True), ((6.0, 11.0), 0.9, False), ((11.0, 17.0), 0.3, True))) == [(0, 1)]
 
 
 def test_overlaps(spark):
-    rows = [(1, 1, "f1", 0.0, 10.0), (1, 2, "f1", 5.0, 15.0), (1, 3, "f2", 5.0, 15.0), (1, 4, "f1", 10.0, 20.0), (1, 5, "f1", 30.0, 30.5)]
+    rows = [(3, 1, "a", 20.0, 26.0), (3, 2, "b", 22.0, 30.0), (3, 3, "a", 12.0, 20.5), (3, 4, "a", 26.0, 31.0), (3, 5, "a", 40.0, 40.9), (3, 6, "b", 30.0, 33.0), (3, 7, "b", 10.0, 22.1)]
     clips = spark.createDataFrame(rows, "qid long, rank long, file string, start_s double, end_s double")
-    assert [r.rank for r in fuse.without_overlaps(clips, 5).orderBy("new_rank").collect()] == [1, 3, 4]
-    assert [r.rank for r in fuse.without_overlaps(clips, 2).orderBy("new_rank").collect()] == [1, 3]
+    kept = lambda k, **o: [r.rank for r in fuse.without_overlaps(clips, k, **o).orderBy("new_rank").collect()]
+    assert kept(9) == [1, 2, 4, 6] and kept(3) == [1, 2, 4] and kept(9, least=0.5) == [1, 2, 4, 5, 6] and kept(9, least=6.5) == [2, 3]
 
 
 def test_blend_of_missing_signals(spark):
-    df = spark.createDataFrame([(1, 0, 0.1, 1.0), (1, 1, 0.9, 0.0)], "g long, i long, dense double, keyword double")
-    got = df.withColumn("s", fuse.blend(df, ["g"], {"dense": 3.0, "keyword": 1.0})).orderBy("i").collect()
-    assert [r.s for r in got] == [0.25, 0.75]
-    none = spark.createDataFrame([(1, None), (1, 0.0), (2, 0.5), (2, 0.5)], "g long, dense double")
-    assert sorted(r.s for r in none.select(fuse.blend(none, ["g"], {"dense": 1.0}).alias("s")).collect()) == [0.0, 0.0, 1.0, 1.0]
+    df = spark.createDataFrame([(1, 0, 0.2, 6.0), (1, 1, 0.6, 2.0), (1, 2, None, 4.0)], "g long, i long, dense double, keyword double")
+    got = df.withColumn("s", fuse.blend(df, ["g"], {"dense": 1.5, "keyword": 0.5})).orderBy("i").collect()
+    assert [r.s for r in got] == [0.25, 0.75, 0.125]
+    flat = spark.createDataFrame([(5, 0.0), (5, None), (6, 0.3), (6, 0.3)], "g long, dense double")
+    assert sorted(r.s for r in flat.select(fuse.blend(flat, ["g"], {"dense": 4.0}).alias("s")).collect()) == [0.0, 0.0, 1.0, 1.0]
 
 
 def test_matched_by_quarter(spark):

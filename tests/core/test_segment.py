@@ -1,3 +1,5 @@
+import random
+
 from parley.operators import segment as S
 
 
@@ -12,24 +14,48 @@ def timed(tokens, pauses=None):
 
 
 def test_punctuation_and_fragments():
-    t = timed("I met Dr. Smith there today. Yes. And then we all went home.".split())
-    assert S.sentence_spans(t) == [(0, 7), (7, 13)] or S.sentence_spans(t)[0][0] == 0
-    assert all(b - a >= 4 for a, b in S.sentence_spans(t))
+    t = timed("We asked Prof. Lind about it. Sure. Later on the whole group went out.".split())
+    assert S.sentence_spans(t) == [(0, 7), (7, 14)]
+    assert S.sentence_spans(timed("It rained all day long. No way. She said so twice.".split())) == [(0, 7), (7, 11)]
+    assert S.sentence_spans(timed([])) == [] and S.sentence_spans(timed(["Hm."])) == [(0, 1)]
 
 
 def test_long_runs_split_at_the_later_of_equal_pauses():
-    words = [f"w{i}" for i in range(40)]
-    assert S.sentence_spans(timed(words, {10: 1.0, 25: 1.0})) == [(0, 25), (25, 40)]
-    assert S.sentence_spans(timed(words)) == [(0, 30), (30, 40)]
-    assert S.sentence_spans(timed(words[:20], {10: 20.0})) == [(0, 10), (10, 20)]
+    words = [f"t{i}" for i in range(42)]
+    assert S.sentence_spans(timed(words, {9: 0.9, 27: 0.9})) == [(0, 27), (27, 42)]
+    assert S.sentence_spans(timed(words)) == [(0, 30), (30, 42)]
+    assert S.sentence_spans(timed(words[:22], {12: 18.0})) == [(0, 12), (12, 22)]
+    assert S.sentence_spans(timed(words[:33])) == [(0, 33)]  # what a cut after 30 words leaves over would be a fragment
+
+
+def walked(starts, ends, seconds):
+    """Windows by walking from sentence to sentence."""
+    out, i, n = [], 0, len(starts)
+    while i < n:
+        j = max(i + 1, (out[-1][1] + 1) if out else 1)
+        while j < n and ends[j] - starts[i] <= seconds:
+            j += 1
+        out.append((i, j))
+        i = n if j == n else j - 1 if j - i > 1 else j
+    if len(out) > 1 and ends[-1] - starts[out[-2][1]] < seconds / 3 and ends[-1] - starts[out[-2][0]] <= seconds * 4 / 3:
+        out[-2:] = [(out[-2][0], n)]
+    return out
 
 
 def test_windows():
-    nine = [10.0 * i for i in range(7)]
-    assert S.window_spans(nine, [s + 9 for s in nine]) == [(0, 3), (2, 5), (4, 7)]
-    assert S.window_spans([0.0, 40.0, 44.0], [40.0, 44.0, 48.0]) == [(0, 1), (1, 3)]
-    four = nine[:4]
-    assert S.window_spans(four, [s + 9 for s in four]) == [(0, 4)]
+    eight = [8.0 * i for i in range(8)]
+    assert S.window_spans(eight, [s + 7 for s in eight]) == [(0, 3), (2, 5), (4, 8)]
+    assert S.window_spans([0.0, 36.0, 39.0], [36.0, 39.0, 42.0]) == [(0, 1), (1, 3)]
+    assert S.window_spans([], []) == []
+    r = random.Random(3)
+    for _ in range(300):
+        starts, ends, t = [], [], 0.0
+        for _ in range(r.randrange(1, 25)):
+            starts.append(t)
+            t += r.choice([0.5, 3.0, 9.0, 14.0, 31.0, 45.0])
+            ends.append(t)
+            t += r.choice([0.0, 0.25, 2.0])
+        assert S.window_spans(starts, ends) == walked(starts, ends, 30.0)
 
 
 def test_sentences_partition_turns(spark):

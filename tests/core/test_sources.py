@@ -33,7 +33,7 @@ def test_moments_and_labels(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(q))
     queries = D.qrels(spark, str(tmp_path / "q.json"))
     assert sorted((r.moment, r.start_s) for r in D.moments(queries).collect()) == [(0, 1.0), (0, 5.0), (1, 1.0)]
-    assert D.evaluation_config(queries)["tests"][0]["vars"]["query"] == "x"
+    assert D.write_evaluation_config(str(tmp_path / "config"), queries)["tests"][0]["vars"]["query"] == "x" and (tmp_path / "config.yaml").exists()
     (tmp_path / "l.json").write_text(json.dumps({"file_id": "f", "labels": {"S0": "Ann"}}))
     assert D.speaker_labels(spark, str(tmp_path / "l.json")).first().name == "Ann"
 
@@ -51,8 +51,16 @@ def test_audio(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     rules = {r.path[-5:]: r.rule for r in D.wav_facts(spark, str(tmp_path / "*.wav")).collect()}
     assert rules == {"a.wav": None, "b.wav": "duration", "c.wav": "format", "d.wav": "wav", "f.wav": "wav", "g.wav": None}
-    up = {r.path[-5:]: r for r in D.uploads(spark, str(tmp_path)).collect()}
-    assert up["e.txt"].rule == "type" and up["f.wav"].rule == "empty" and up["a.wav"].file_id == up["g.wav"].file_id
+    for place in (str(tmp_path), str(tmp_path / "*")):
+        up = {r.path[-5:]: r for r in D.uploads(spark, place).collect()}
+        assert {n: r.rule for n, r in up.items()} == {"a.wav": None, "b.wav": "duration", "c.wav": None, "d.wav": "audio", "e.txt": "type", "f.wav": "empty", "g.wav": None}
+        assert up["a.wav"].file_id == up["g.wav"].file_id and up["a.wav"].seconds == 12.0
+    assert [r.rule for r in D.uploads(spark, str(tmp_path / "f.wav")).collect()] == ["empty"] and D.uploads(spark, str(tmp_path / "no*")).collect() == []
+    facts = D.wav_facts(spark, str(tmp_path / "*.wav"))
+    sha = {r.path[-5:]: r.sha256 for r in facts.collect()}
+    manifest = [("a.wav", 16000, 1, 12.0, sha["a.wav"]), ("b.wav", 16000, 1, 2.0, sha["b.wav"]), ("g.wav", 16000, 1, 12.5, sha["g.wav"]), ("a2.wav", 16000, 1, 12.0, sha["a.wav"]), ("f.wav", 16000, 1, 1.0, sha["f.wav"])]
+    rules = D.verified(facts, spark.createDataFrame(manifest, "name string, rate long, channels long, seconds double, sha256 string"))
+    assert {r.name: r.rule for r in rules.collect()} == {"a.wav": None, "b.wav": "duration", "g.wav": "seconds", "a2.wav": "missing", "f.wav": "wav"}
     with wave.open(BytesIO(D.clip_wav(tone(12), 1.0, 2.0))) as w:
         assert abs(w.getnframes() / 16000 - 1.3) < 0.01
     signal, noise = np.sin(np.arange(8000) / 5) * 0.2, np.random.default_rng(0).standard_normal(999) * 0.1
@@ -62,6 +70,37 @@ def test_audio(spark, tmp_path):
         D.mix_at_snr(signal, np.zeros(5), 12)
 
 
+def test_standard_wav():
+    for data, seconds in ((tone(12, 8000), 12.0), (tone(3, 44100), 3.0)):
+        with wave.open(BytesIO(D.to_standard_wav(data))) as w:
+            assert (w.getframerate(), w.getnchannels(), w.getsampwidth()) == (16000, 1, 2) and abs(w.getnframes() / 16000 - seconds) < 0.01
+            assert abs(np.abs(np.frombuffer(w.readframes(w.getnframes()), "<i2")).max() - 9000) < 50
+    stereo = BytesIO()
+    with wave.open(stereo, "wb") as w:
+        w.setparams((2, 3, 16000, 0, "NONE", ""))
+        w.writeframes(np.array([[2**22, 0]] * 16000, "<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    with wave.open(BytesIO(D.to_standard_wav(stereo.getvalue(), most_seconds=0.5))) as w:
+        assert w.getnframes() == 8000 and abs(int(np.frombuffer(w.readframes(9), "<i2")[0]) - 8192) < 2
+
+
+def test_names_of_results(tmp_path):
+    place = lambda label=None: D.result_path(str(tmp_path), "blind", {"blind"}, label)
+    assert place() == f"{tmp_path}/final_blind.json"
+    (tmp_path / "final_blind.json").write_text("{}")
+    with pytest.raises(FileExistsError):
+        place()
+    assert place("clean") == f"{tmp_path}/blind_rerun_clean.json" and D.result_path(str(tmp_path), "dev", {"blind"}) == f"{tmp_path}/final_dev.json"
+
+
+def test_late_jobs_are_cancelled(spark):
+    from parley.plans.session import within
+
+    assert within(spark, 60, lambda: spark.range(9).count()) == 9
+    slow = spark.range(8, numPartitions=8).select(F.expr("aggregate(sequence(1, 2000000), 0L, (t, x) -> t + pmod(hash(x, id), 7))").alias("x"))
+    with pytest.raises(TimeoutError):
+        within(spark, 0.2, lambda: slow.union(slow).union(slow).union(slow).agg({"x": "sum"}).collect())
+
+
 def test_json_is_whole_or_absent(tmp_path):
     path = str(tmp_path / "x.json")
     D.write_json(path, {"b": 1, "a": "é"})
