@@ -84,7 +84,7 @@ def bm25_stemmed(spark, sf):
 
 @query(f"WITH {O.KEYWORDS}, {O.TRIGRAM} {O.top('trigram', 50)}")
 def trigram_jaccard_topk(spark, sf):
-    return long_rank(retrieve.ranked(retrieve.trigram_jaccard(corpus(spark, sf), keyword_queries(spark, sf)), 50))
+    return long_rank(retrieve.trigram_topk(corpus(spark, sf), keyword_queries(spark, sf), 50))
 
 
 @query()
@@ -131,7 +131,7 @@ def sentence_rollup_max(spark, sf):
 def ranked_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     words, docs = keyword_queries(spark, sf), corpus(spark, sf)
     asked = vectors(spark, sf).join(items(spark, sf).select(F.col("qid").alias("id")), "id", "left_semi").withColumnRenamed("id", "qid")
-    found = {"bm25": retrieve.ranked(retrieve.bm25(docs, words), 50), "trigram": retrieve.ranked(retrieve.trigram_jaccard(docs, words), 50), "dense": retrieve.knn(vectors(spark, sf), asked)}
+    found = {"bm25": retrieve.ranked(retrieve.bm25(docs, words), 50), "trigram": retrieve.trigram_topk(docs, words, 50), "dense": retrieve.knn(vectors(spark, sf), asked)}
     lists = None
     for name, df in found.items():
         one = df.select(F.lit(name).alias("retriever"), "qid", "id", "score")
