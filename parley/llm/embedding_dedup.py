@@ -6,7 +6,7 @@ projection is near it go to both sides: at least those between the SPILL quantil
 threshold together unless its projected distance exceeds REACH standard deviations (such distances are normal, or bounded by the pair's own distance).
 Of TRIES directions and CUTS the one that leaves the fewest pairs is taken; a node that all leave with more than WHOLE of its rows on one side
 isn't split: a dense group stays in one leaf.
-Otherwise nodes are split until about LEAF classes of the most frequent label are in a leaf. Classes that share a leaf and a label are compared exactly, in double precision. Leaves
+Otherwise nodes are split until an eighth of the most frequent label's classes is in a leaf, LEAF at most and LEAST_LEAF at least, so that small tables go through the trees too. Classes that share a leaf and a label are compared exactly, in double precision. Leaves
 with more than BLOCK classes are dealt into blocks that meet two by two, so no task holds more than two blocks and no
 pair is left out. A pair that meets in several leaves counts in the first only, which both sides know from their
 lists of leaves: links are counted in place, never listed, and each leaf gives one row for each class in it that has a link.
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from parley.llm.common import materialize
 from parley.llm.graph import components
 
-LEAF, BLOCK = 256, 2048
+LEAF, LEAST_LEAF, BLOCK = 256, 16, 2048
 SPILL = 0.1
-FEWEST = 32
+FEWEST = 8
 REACH, WHOLE, TRIES, DEEPEST = 2.0, 0.8, 4, 40
 CUTS = 0.3, 0.4, 0.5, 0.6, 0.7
 
@@ -78,7 +78,8 @@ class Tree:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), float)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x.reshape(0, 0)
 
 
@@ -136,7 +137,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, sam
     vec_id count as vectors of their own. Other columns are ignored; an empty table gives none.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as it is stored, so that half as much is shuffled; compared in double precision
+    vectors = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0))
     classes = materialize(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("dims", F.size("embedding")), "vector-classes")
@@ -145,10 +147,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, sam
     forests: dict[int, list[Tree]] = {}
     for r in classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("most")).collect():
         chosen = classes.where((F.col("dims") == r.dims) & (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / F.lit(float(1 << 63)) < share))
-        split = r.most > LEAF
+        leaf = max(LEAST_LEAF, min(LEAF, r.most // 8))
+        split = r.most > leaf
         sample = chosen.orderBy("id").select("embedding", "label").toArrow() if split else None
         x, labels = (_matrix(sample.column(0)), np.unique(sample.column(1).to_numpy(), return_inverse=True)[1]) if split else (np.zeros((0, r.dims)), np.zeros(0, np.int64))
-        forests[r.dims] = [Tree(x.reshape(-1, r.dims), labels, LEAF * share, least, seed + t) for t in range(trees if split else 1)]
+        forests[r.dims] = [Tree(x.reshape(-1, r.dims), labels, leaf * share, least, seed + t) for t in range(trees if split else 1)]
     sent = spark.sparkContext.broadcast(forests)
 
     def place(batches):
@@ -163,7 +166,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, sam
                         lists[i] += [(t << 48) + q for q in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(v) for v in lists], pa.list_(pa.int64()))], [*batch.schema.names, "leaves"])
 
-    placed = materialize(classes.mapInArrow(place, f"label {classes.schema['label'].dataType.simpleString()}, embedding array<double>, id long, n long, dims int, leaves array<long>"), "leaves")
+    placed = materialize(classes.mapInArrow(place, f"label {classes.schema['label'].dataType.simpleString()}, embedding array<{kind}>, id long, n long, dims int, leaves array<long>"), "leaves")
     spread = placed.select("*", F.explode("leaves").alias("leaf"))
     sizes = spread.groupBy("label", "dims", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = spread.join(sizes.where("blocks > 1"), ["label", "dims", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

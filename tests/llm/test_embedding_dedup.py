@@ -63,6 +63,23 @@ def test_large_dense_group_keeps_its_links():
     assert near.sum() > 10**6 and (met & near).sum() >= 0.999 * near.sum()
 
 
+def test_small_tables_go_through_the_trees(spark, monkeypatch):
+    built = []
+    tree = E.Tree
+
+    def seen(*args):
+        one = tree(*args)
+        built.append(max((node.bit_length() for node in one.nodes), default=0))
+        return one
+
+    monkeypatch.setattr(E, "Tree", seen)
+    rows = rows_of(8, 900)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got, want = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in E.near_duplicates(df).collect()}, brute(rows)
+    assert len(built) == 4 and min(built) > 2
+    assert sum(got[i][0] for i in got) >= 0.99 * sum(w[0] for w in want.values()) > 500 and all(got[i][0] <= want[i][0] for i in want)
+
+
 def test_one_very_common_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(3000)] + [(5000, [1.0, 2.0, 3.1], 0), (5001, [1.0, 2.0, 3.0], 1)]
     got = {x.vec_id: x for x in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from parley.llm import ngram_join
 from parley.llm.ngram_join import ngram_components
 
 
@@ -53,6 +55,24 @@ def test_against_brute_force(spark, n, percent):
     assert got == brute(rows, n, percent)
 
 
+def test_no_pair_at_the_threshold_misses_its_keys():
+    """MinHash bands below CELLS_FROM: sets just at 80 % always share a key; cells at 90 % must."""
+    r = np.random.default_rng(7)
+    for percent, pairs in ((80, 3000), (90, 1000)):
+        met = 0
+        for _ in range(pairs):
+            n = int(r.integers(30, 400))
+            apart = n * (100 - percent) // (2 * percent)  # so many of n replaced on the one side and as many on the other
+            both = n - apart
+            whole = r.integers(0, 1 << 63, n + apart, dtype=np.uint64)
+            a, b = np.unique(whole[:n]), np.unique(np.concatenate([whole[:both], whole[n:]]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared < percent * (len(a) + len(b) - shared):
+                a = b
+            met += bool(np.isin(ngram_join.set_keys(a, percent), ngram_join.set_keys(b, percent)).any())
+        assert met == pairs
+
+
 def test_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
