@@ -248,6 +248,22 @@ def _built(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary()), "rate": [false_rate(block)], "contexts": pa.array([contexts], pa.list_(pa.int32())), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The `most` most frequent rows of counts(key, n); of as frequent ones those of the least keys, or none where more than `most` are about as frequent as the last one. Nothing but
+    what is about as frequent as the last one is sorted."""
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.02)) + 1e-9)
+    sizes = {r.step: r.rows for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    room, last = most, None
+    for last in sorted(sizes, reverse=True):
+        if sizes[last] > room:
+            break
+        room -= sizes[last]
+    else:
+        return counts
+    above, at = counts.where(step > last), counts.where(step == last)
+    return above.unionByName(at.orderBy(F.desc("n"), "key").limit(room)) if room and sizes[last] <= most else above
+
+
 def train(docs: DataFrame, head: int = 1 << 18, max_filter_bits: int = 1 << 29) -> tuple[DataFrame, Model, DataFrame, list[list[int]] | None]:
     """docs(text) -> counts(key, n) of all tokens by hash, the model without filter, the filter's blocks and which of them make a part (None: too many parts to pass over the texts for each). Null texts count as empty ones."""
     spark = docs.sparkSession
@@ -255,7 +271,7 @@ def train(docs: DataFrame, head: int = 1 << 18, max_filter_bits: int = 1 << 29)
     raw_counts = docs.mapInArrow(_counted(lambda raw, offsets: tokens(raw, offsets)[0], _words), "key long, n long")
     counts = materialize(raw_counts.groupBy("key").agg(F.sum("n").alias("n")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    top = _frequent(counts, head).toArrow()
     keys, found = top.column("key").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy().astype(np.int64)
     buckets = min(MOST_BUCKETS, 1 << max(0, (distinct - len(keys)) // 4).bit_length())
     bucket = F.shiftrightunsigned("key", 20).bitwiseAND(F.lit(buckets - 1)).alias("bucket")

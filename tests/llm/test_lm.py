@@ -39,6 +39,16 @@ def blank(blocks=1):
     return m
 
 
+def test_the_most_frequent(spark):
+    r = np.random.default_rng(2)
+    rows = [(int(k), int(n)) for k, n in zip(r.permutation(4000), r.zipf(1.3, 4000).clip(1, 10**6), strict=True)]
+    counts = spark.createDataFrame(rows, "key long, n long").repartition(5)
+    order = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for most in (1, 7, 100, 5000):
+        got = sorted(((x.key, x.n) for x in lm._frequent(counts, most).collect()), key=lambda x: (-x[1], x[0]))
+        assert got == order[: len(got)] and (len(got) == min(most, 4000) or sum(n == order[len(got)][1] for _, n in rows) > most)
+
+
 def test_packed():
     keys, counts = np.sort(np.random.default_rng(4).integers(0, 1 << 50, 999)), np.arange(1, 1000)
     assert all((x == y).all() for x, y in zip(lm.unpacked(lm.packed(keys, counts), 999), (keys, counts), strict=True))
