@@ -13,6 +13,9 @@ from parley.functions import expressions as X
 from parley.functions import text as T
 
 
+BUCKET = 30.0
+
+
 def moment_hits(results: DataFrame, moments: DataFrame) -> DataFrame:
     """results(qid, file, speaker, start_s, end_s, rank), moments(qid, moment, file, speaker?, start_s, end_s) -> (qid, moment, first rank that hits, or null).
     Alternatives of a moment are rows with its number."""
@@ -72,8 +75,11 @@ def bootstrap(per_query: DataFrame, draws: int = 10_000, seed: int = 0) -> DataF
 
 def overlap_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     """Seconds that each pair of speakers of two turn tables(file, speaker, start_s, end_s) shares."""
-    right = b.select("file", F.col("speaker").alias("other"), F.col("start_s").alias("o_start"), F.col("end_s").alias("o_end"))
-    met = a.join(right, "file").where((F.col("start_s") < F.col("o_end")) & (F.col("o_start") < F.col("end_s")))
+    buckets = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / BUCKET), F.floor(F.greatest(x, y) / BUCKET)))
+    left = a.withColumn("bucket", buckets("start_s", "end_s"))
+    right = b.select("file", F.col("speaker").alias("other"), F.col("start_s").alias("o_start"), F.col("end_s").alias("o_end")).withColumn("bucket", buckets("o_start", "o_end"))
+    first = F.col("bucket") == F.floor(F.greatest("start_s", "o_start") / BUCKET)  # a pair counts in the first bucket that both are in
+    met = left.join(right, ["file", "bucket"]).where((F.col("start_s") < F.col("o_end")) & (F.col("o_start") < F.col("end_s")) & first)
     return met.groupBy("file", "speaker", "other").agg(F.round(F.sum(X.overlap(F.col("start_s"), F.col("end_s"), F.col("o_start"), F.col("o_end"))), 3).alias("seconds"))
 
 
@@ -140,7 +146,9 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
     if collar:
         close = segments.join(marks, "file").where(((F.col("t") + F.col("u")) / 2 > F.col("c") - collar / 2) & ((F.col("t") + F.col("u")) / 2 < F.col("c") + collar / 2)).select("file", "t").distinct()
         segments = segments.join(close, ["file", "t"], "left_anti")
-    on = lambda d: segments.join(d.select("file", "speaker", "start_s", "end_s"), "file").where((F.col("start_s") <= F.col("t")) & (F.col("end_s") >= F.col("u"))).select("file", "t", "u", "speaker").distinct()
+    at = segments.withColumn("bucket", F.floor(F.col("t") / BUCKET))
+    held = lambda d: d.select("file", "speaker", "start_s", "end_s", F.explode(F.sequence(F.floor(F.col("start_s") / BUCKET), F.floor(F.greatest("start_s", "end_s") / BUCKET))).alias("bucket"))
+    on = lambda d: at.join(held(d), ["file", "bucket"]).where((F.col("start_s") <= F.col("t")) & (F.col("end_s") >= F.col("u"))).select("file", "t", "u", "speaker").distinct()
     both = on(reference).withColumn("r", F.lit(1)).join(on(hypothesis).withColumn("h", F.lit(1)), ["file", "t", "u", "speaker"], "full")
     each = both.groupBy("file", "t", "u").agg(F.count("r").alias("nr"), F.count("h").alias("nh"), F.count_if(F.col("r").isNotNull() & F.col("h").isNotNull()).alias("ok"))
     length = F.col("u") - F.col("t")

@@ -41,8 +41,8 @@ def assign_speakers(words: DataFrame, intervals: DataFrame) -> DataFrame:
 
     The speaker with more than half of a word's duration wins (the greatest total, the earliest interval among equal ones); other
     words take the interval at the least distance, the first of equal ones. Overlaps meet by recording and
-    time bucket, so a long recording isn't compared with itself whole; only words without a majority meet
-    all intervals of their recording.
+    time bucket, so a long recording isn't compared with itself whole; words without a majority take the first interval that they meet or touch, else the nearer one of the last
+    before and the first after them, which running windows know.
     """
     w = words.withColumn("bucket", _buckets(F.col("start_s"), F.col("end_s")))
     iv = intervals.withColumn("bucket", _buckets(F.col("start"), F.col("end")))
@@ -53,8 +53,19 @@ def assign_speakers(words: DataFrame, intervals: DataFrame) -> DataFrame:
     best = totals.groupBy("conv_id", "pos", "start_s", "end_s").agg(F.max_by("speaker", F.struct("shared", (-F.col("place")).alias("p"))).alias("speaker"), F.max("shared").alias("shared"))
     major = best.where(F.col("shared") / F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.001)) > 0.5).select("conv_id", "pos", "speaker")
     others = words.join(major, ["conv_id", "pos"], "left_anti").select("conv_id", "pos", "start_s", "end_s")
-    distance = F.when(F.col("end_s") < F.col("start"), F.col("start") - F.col("end_s")).when(F.col("start_s") > F.col("end"), F.col("start_s") - F.col("end")).otherwise(0.0)
-    nearest = others.join(intervals, "conv_id").groupBy("conv_id", "pos").agg(F.min_by("speaker", F.struct(distance.alias("d"), "place")).alias("speaker"))
+    touch = others.withColumn("bucket", _buckets(F.col("start_s"), F.col("end_s"))).join(iv, ["conv_id", "bucket"]).where((F.col("start") <= F.col("end_s")) & (F.col("start_s") <= F.col("end")))
+    at_hand = touch.select("conv_id", "pos", F.lit(0.0).alias("d"), "place", "speaker")
+    edge = lambda there, sign: F.struct((sign * F.col(there)).alias("edge"), F.col("place").alias("place"), F.col("speaker").alias("speaker"))
+    marks = lambda there, here, sign: intervals.select("conv_id", F.lit(None).cast("long").alias("pos"), (sign * F.col(there)).alias("t"), edge(there, -sign).alias("edge")).unionByName(others.select("conv_id", "pos", (sign * F.col(here)).alias("t"), F.lit(None).alias("edge")))
+
+    def beside(there: str, here: str, sign: int) -> DataFrame:
+        """The interval whose edge is the last one not after a word's, in the direction of sign."""
+        passed = Window.partitionBy("conv_id").orderBy("t", F.col("pos").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        near = marks(there, here, sign).withColumn("near", F.min("edge").over(passed)).where("pos IS NOT NULL AND near IS NOT NULL")
+        return near.select("conv_id", "pos", (F.col("t") + F.col("near.edge")).alias("d"), F.col("near.place").alias("place"), F.col("near.speaker").alias("speaker"))
+
+    every = at_hand.unionByName(beside("end", "start_s", 1)).unionByName(beside("start", "end_s", -1))
+    nearest = every.groupBy("conv_id", "pos").agg(F.min_by("speaker", F.struct("d", "place")).alias("speaker"))
     return words.join(major.unionByName(nearest), ["conv_id", "pos"], "left")
 
 
@@ -123,19 +134,28 @@ def speaker_labels(turns: DataFrame) -> DataFrame:
 
 def turn_at(times: DataFrame, turns: DataFrame) -> DataFrame:
     """times(conv_id, t) as of turns: the first started turn that still plays, else the last started, else turn 0."""
-    started = times.join(turns.select("conv_id", "turn_id", "start_s", "end_s"), "conv_id", "left")
-    has = F.col("start_s") <= F.col("t")
-    playing = F.min(F.when(has & (F.col("t") < F.col("end_s")), F.col("turn_id")))
-    last = F.max_by(F.when(has, F.col("turn_id")), F.when(has, F.struct("start_s", "turn_id")))
-    return started.groupBy("conv_id", "t").agg(F.coalesce(playing, last, F.lit(0)).alias("turn_id"))
+    spread = turns.select("conv_id", "turn_id", "start_s", "end_s", _buckets(F.col("start_s"), F.col("end_s")).alias("bucket"))
+    met = times.withColumn("bucket", F.floor(F.col("t") / BUCKET)).join(spread, ["conv_id", "bucket"]).where((F.col("start_s") <= F.col("t")) & (F.col("t") < F.col("end_s")))
+    playing = met.groupBy("conv_id", "t").agg(F.min("turn_id").alias("playing"))
+    marks = turns.select("conv_id", F.col("start_s").alias("at"), F.struct("start_s", "turn_id").alias("began")).unionByName(times.select("conv_id", F.col("t").alias("at"), F.lit(None).alias("began")))
+    upto = Window.partitionBy("conv_id").orderBy("at", F.col("began").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.withColumn("last", F.max("began").over(upto)).where("began IS NULL").select("conv_id", F.col("at").alias("t"), F.col("last.turn_id").alias("last")).distinct()
+    return last.join(playing, ["conv_id", "t"], "left").select("conv_id", "t", F.coalesce("playing", "last", F.lit(0)).alias("turn_id"))
 
 
 def clip_to_turn(clips: DataFrame, turns: DataFrame) -> DataFrame:
     """clips(conv_id, clip_id, clip_start, clip_end, speaker) -> the turn with most overlap, then of the same speaker, then the first."""
-    t = turns.select("conv_id", "turn_id", F.col("speaker").alias("turn_speaker"), "start_s", "end_s")
-    shared = X.overlap(F.col("clip_start"), F.col("clip_end"), F.col("start_s"), F.col("end_s"))
-    rank = F.struct(F.round(shared, 6).alias("shared"), (F.col("turn_speaker") == F.col("speaker")).alias("same"), (-F.col("turn_id")).alias("p"))
-    return clips.join(t, "conv_id").groupBy("conv_id", "clip_id").agg(F.max_by("turn_id", rank).alias("turn_id"))
+    t = turns.select("conv_id", "turn_id", F.col("speaker").alias("turn_speaker"), "start_s", "end_s", _buckets(F.col("start_s"), F.col("end_s")).alias("bucket"))
+    shared = F.round(X.overlap(F.col("clip_start"), F.col("clip_end"), F.col("start_s"), F.col("end_s")), 6)
+    rank = F.struct(shared.alias("shared"), (F.col("turn_speaker") == F.col("speaker")).alias("same"), (-F.col("turn_id")).alias("p"))
+    met = clips.withColumn("bucket", _buckets(F.col("clip_start"), F.col("clip_end"))).join(t, ["conv_id", "bucket"]).where(shared > 0)
+    most = met.groupBy("conv_id", "clip_id").agg(F.max_by("turn_id", rank).alias("turn_id"))
+    # clips that no turn overlaps: the first turn of their speaker, else the first
+    rest = clips.join(most, ["conv_id", "clip_id"], "left_anti")
+    own = turns.groupBy("conv_id", "speaker").agg(F.min("turn_id").alias("own"))
+    any_ = turns.groupBy("conv_id").agg(F.min("turn_id").alias("first"))
+    other = rest.join(any_, "conv_id").join(own, ["conv_id", "speaker"], "left").select("conv_id", "clip_id", F.coalesce("own", "first").alias("turn_id"))
+    return most.unionByName(other)
 
 
 def context(turns: DataFrame) -> DataFrame:

@@ -48,12 +48,12 @@ def diarization_rates(spark, sf):
 
 @query(f"""WITH RECURSIVE {O.WORDS}, {O.TURNS}, {O.INTERVALS},
 ov AS (SELECT t.conv_id AS file, t.speaker, i.speaker AS other, round(1000 * round(sum(least(end_s, iend) - greatest(start_s, istart)), 3))::BIGINT AS ms FROM turns t JOIN iv i ON t.conv_id = i.conv_id AND start_s < iend AND istart < end_s GROUP BY ALL),
-sp AS (SELECT file, list_sort(list(DISTINCT speaker)) AS hyps, list_sort(list(DISTINCT other)) AS refs FROM ov GROUP BY file),
-rec AS (SELECT file, 1 AS k, []::VARCHAR[] AS picks, 0::BIGINT AS total FROM sp WHERE len(refs) >= len(hyps)
-  UNION ALL SELECT x.file, x.k + 1, list_append(x.picks, x.other), x.total + coalesce(ov.ms, 0) FROM (SELECT rec.*, sp.hyps[rec.k] AS hyp, unnest(sp.refs) AS other FROM rec JOIN sp USING (file) WHERE rec.k <= len(sp.hyps)) x LEFT JOIN ov ON ov.file = x.file AND ov.speaker = x.hyp AND ov.other = x.other WHERE NOT list_contains(x.picks, x.other)),
-full_ AS (SELECT rec.* FROM rec JOIN sp USING (file) WHERE k = len(hyps) + 1), best AS (SELECT file, picks FROM full_ QUALIFY row_number() OVER (PARTITION BY file ORDER BY total DESC, picks) = 1),
+sides AS (SELECT file, list_sort(list(DISTINCT speaker)) AS hyps, list_sort(list(DISTINCT other)) AS refs FROM ov GROUP BY file),
+rec AS (SELECT file, 1 AS k, []::VARCHAR[] AS picks, 0::BIGINT AS total FROM sides WHERE len(refs) >= len(hyps)
+  UNION ALL SELECT x.file, x.k + 1, list_append(x.picks, x.other), x.total + coalesce(ov.ms, 0) FROM (SELECT rec.*, sides.hyps[rec.k] AS hyp, unnest(sides.refs) AS other FROM rec JOIN sides USING (file) WHERE rec.k <= len(sides.hyps)) x LEFT JOIN ov ON ov.file = x.file AND ov.speaker = x.hyp AND ov.other = x.other WHERE NOT list_contains(x.picks, x.other)),
+full_ AS (SELECT rec.* FROM rec JOIN sides USING (file) WHERE k = len(hyps) + 1), best AS (SELECT file, picks FROM full_ QUALIFY row_number() OVER (PARTITION BY file ORDER BY total DESC, picks) = 1),
 own AS (SELECT file, speaker, other FROM ov QUALIFY row_number() OVER (PARTITION BY file, speaker ORDER BY ms DESC, other) = 1)
-SELECT file, unnest(hyps) AS speaker, unnest(picks) AS mapped FROM best JOIN sp USING (file) UNION ALL SELECT file, speaker, other FROM own WHERE file NOT IN (SELECT file FROM best)""")
+SELECT file, unnest(hyps) AS speaker, unnest(picks) AS mapped FROM best JOIN sides USING (file) UNION ALL SELECT file, speaker, other FROM own WHERE file NOT IN (SELECT file FROM best)""")
 def speaker_mapping(spark, sf):
     return E.speaker_mapping(E.overlap_matrix(*turn_tables(spark, sf)))
 
