@@ -2,7 +2,7 @@
 
 toxicity drops the documents that the machine rejects; near_duplicates keeps one document (the smallest doc_id) of each group of n-gram
 Jaccard links; decontamination drops documents that hold a benchmark item; secrets masks secrets in the texts; tokens adds the
-SentencePiece ids. Null and empty texts pass every stage, as do extra columns. Rows with a null doc_id pass, and rows that
+SentencePiece ids. Null and empty texts pass every stage, as do extra columns but ids, n_ids and round_trip, which the last stage sets. Rows with a null doc_id pass, and rows that
 repeat a doc_id stay or go together.
 """
 
@@ -22,6 +22,7 @@ from parley.llm.toxicity import reject
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the machine scores as toxic. Null and empty texts score as texts without an insult and stay; repeated rows go or stay alike."""
     return reject(docs, table(spark, sf_dir, "labels"))
 
 
@@ -33,14 +34,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a window is like a benchmark item. Null, empty and blank texts are like none and stay."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; all rows stay, null and empty texts as they are. n_chars follows the masked text."""
     return redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds n_ids, ids and round_trip; null and empty texts have no ids. A caller's own columns of these three names are replaced, all others pass."""
     return encode_table(docs, keep=True)
 
 

@@ -249,7 +249,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of docs with each span of a text (overlapping ones together) replaced by mark, and n_chars, where there is one, set anew."""
+    """The rows of docs with each span of a text (overlapping ones together) replaced by mark, and n_chars, where there is one, set anew.
+
+    Null and empty texts, repeated rows, null ids and other columns pass as they are; an empty table gives none.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

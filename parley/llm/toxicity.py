@@ -310,7 +310,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
 
 
 def reject(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, **limits) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; nothing is shuffled but the sample."""
+    """The rows of docs that score below the threshold, with all their columns, whatever their names; nothing is shuffled but the sample.
+
+    Null and empty texts score as texts without an insult, rows without doc_id teach nothing; repeated rows go or stay alike; without labels all stay; an empty table gives none.
+    """
     machine = learn(learning_rows(docs.select("doc_id", "text"), folds, held), labels, **limits)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     return docs.mapInArrow(_scorer(sent, lambda batch, scores: batch.filter(pa.array(scores < threshold))), docs.schema)
