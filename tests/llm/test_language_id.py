@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import zstandard
+
 from parley.llm import language_id as L
 
 SOUNDS = {"aa": ["ka", "ti", "mo", "ren"], "bb": ["sch", "ung", "heit", "ver"], "cc": ["eau", "oi", "que", "ment"]}
@@ -55,3 +59,30 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(L, "LANGUAGES", 1000)
     once = {x.doc_id: x for x in L.identify(docs).collect()}
     assert all((x.lang_pred, x.rejected) == (got[i].lang_pred, got[i].rejected) and abs(x.score - got[i].score) < 1e-9 for i, x in once.items())
+
+
+def plain_sizes(text, content, shares):
+    """Bytes of each language's compression, block by block, and the language's own cost."""
+    data = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    out = {}
+    for lang, raw in content.items():
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=6)
+        press = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        out[lang] = sum(len(press.compress(data[i : i + 512].encode())) for i in range(0, len(data), 512)) - math.log2(shares[lang]) / 8
+    return out
+
+
+def test_against_brute_force(spark):
+    rows = rows_of(9, 160) + [(800, "ka ti " * 30_000, "aa"), (801, "Sch1ung--heit! VER", None), (802, "x", "cc"), (803, "x", None)]
+    df = spark.createDataFrame([(*x, 3, "z") for x in rows], "doc_id long, text string, lang string, best int, name string")
+    learning = df.where("crc32(cast(cast(doc_id AS STRING) AS BINARY)) % 4 <> 2").select("doc_id", "text", "lang")
+    counts = L.learned(learning)
+    found = L.dictionaries(learning, counts, list(counts))
+    content, shares = {k: v[0] for k, v in found.items()}, {k: n / sum(counts.values()) for k, n in counts.items()}
+    assert set(content) == {"aa", "bb", "cc"} and sum(counts.values()) < 160
+    for x in L.identify(df).collect():
+        sizes = plain_sizes(next(t for i, t, _ in rows if i == x.doc_id), content, shares)
+        best = min(sizes.values())
+        assert x.lang_pred == next(k for k in sorted(sizes) if sizes[k] == best)
+        assert abs(x.score - 1 / sum(2 ** max(-60, best - s) for s in sizes.values())) < 1e-9
