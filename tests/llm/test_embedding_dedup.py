@@ -1,6 +1,10 @@
+import os
+import threading
+
 import numpy as np
 
 from parley.llm import embedding_dedup as E
+from parley.llm.common import shared_dir
 
 
 def brute(rows, least=0.93):
@@ -89,3 +93,69 @@ def test_one_very_common_vector(spark):
 
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_rounds_parts_and_blocks_change_nothing(spark, monkeypatch):
+    rows = rows_of(4, 600) + [(1000 + i, [1.0 + 0.001 * i] + [1.0] * 15, 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rounds = E._rounds
+    seen = []
+    monkeypatch.setattr(E, "_rounds", lambda *args: seen.append(rounds(*args)) or seen[-1])
+    whole = sorted(E.near_duplicates(df).collect())
+    monkeypatch.setattr(E, "BLOCK", 50)
+    monkeypatch.setattr(E, "ROUND", 0.8)
+    monkeypatch.setattr(E, "LEAST_ROUND", 0)
+    assert sorted(E.near_duplicates(df).collect()) == whole
+    assert len(seen[0]) == 1 and len(seen[1]) > 3 and any(parts > 1 for _, _, parts in seen[1])
+
+
+def test_rounds_hold_every_leaf_once():
+    weights = {(64, 5): 30, (64, 9): 60, (64, 12): 250, (3, 1): 10, (64, 13): 1}
+    rounds = E._rounds(weights, 100)
+    assert sorted((d, leaf) for leaves, part, _ in rounds if part == 0 for d in leaves for leaf in leaves[d]) == sorted(weights)
+    assert all(sum(weights[d, leaf] for d in leaves for leaf in leaves[d]) <= 100 * parts for leaves, _, parts in rounds)
+    assert [(part, parts) for leaves, part, parts in rounds if 12 in leaves.get(64, [])] == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_disk_stays_near_the_input(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(E, "LEAST_ROUND", 0)
+    r = np.random.default_rng(6)
+    n = 20_000
+    x = r.standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = r.integers(0, 10, n)
+    x[1:2000:2], label[1:2000:2] = x[0:2000:2] + r.standard_normal((1000, 64)) * 0.04, label[0:2000:2]
+    spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), shared_dir(spark).removeprefix("file://")]
+
+    def files():
+        found = {}
+        for path in (os.path.join(at, f) for folder in folders for at, _, names in os.walk(folder) for f in names):
+            try:
+                found[path] = os.path.getsize(path)
+            except OSError:
+                pass
+        return found
+
+    before, peak, done = set(files()), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.1):
+            peak[0] = max(peak[0], sum(size for path, size in files().items() if path not in before))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        E.near_duplicates(df).write.parquet(f"{tmp_path}/out")
+    finally:
+        done.set()
+        watcher.join()
+    assert x.nbytes < peak[0] < 4.5 * x.nbytes
+    got = {v.vec_id: v.n_links for v in spark.read.parquet(f"{tmp_path}/out").collect()}
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(n, int)
+    for k in range(10):
+        at = np.flatnonzero(label == k)
+        want[at] = (x[at] @ x[at].T >= 0.93).sum(1) - 1
+    assert want.sum() > 1500 and sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= want[i] for i in range(n))
