@@ -159,3 +159,12 @@ def test_disk_stays_near_the_input(spark, monkeypatch, tmp_path):
         at = np.flatnonzero(label == k)
         want[at] = (x[at] @ x[at].T >= 0.93).sum(1) - 1
     assert want.sum() > 1500 and sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= want[i] for i in range(n))
+
+
+def test_bound_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAST_LEAF", 10_000)  # one leaf, so that every link is compared
+    monkeypatch.setattr(E, "_basis", lambda sample: np.linalg.qr(np.random.default_rng(1).standard_normal((64, 24)))[0])
+    for shift in (0.0, 0.8):
+        rows = [(i, [float(np.float32(x + shift)) for x in v], label) for i, v, label in rows_of(12, 500, 64)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in E.near_duplicates(df).collect()} == brute(rows)
