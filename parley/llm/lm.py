@@ -138,6 +138,12 @@ class Model:
         at = W.mix(np.where(self.spread[keys >> 32], keys, keys >> 32).view(U) ^ U(0x5851F42D4C957F2D))
         return ((at >> U(32)) * U(self.blocks) >> U(32)).astype(np.int64)
 
+    def bare(self) -> Model:
+        """What numbers, pair_keys and block_of need: a fifth of the whole, for the tasks that count pairs."""
+        out = copy(self)
+        out.log_count = out.log_mass = out.prior = out.sums = np.zeros(0)
+        return out
+
     def part(self, blocks: dict[int, bytes]) -> Model:
         """The model with these blocks of the filter only, which are taken out of the dict; pairs of other blocks add nothing to its scores."""
         out, held = copy(self), sorted(blocks)
@@ -189,29 +195,59 @@ class Model:
         return self.log_pairs(unique)[where]
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _tally(loose: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts; empties the list."""
+    keys = np.concatenate(loose)
+    loose.clear()
+    keys.sort()
+    new = _starts(keys)
+    return keys[new], np.diff(new, append=len(keys))
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+    """Sorted keys and the sums of their counts; empties the list, so that its parts don't stay beside the result."""
+    if len(parts) == 1:
+        return parts.pop()
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")  # the parts are sorted runs
+    keys, counts = keys[order], counts[order]
+    del order
+    new = _starts(keys)
+    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
 def _counted(keys_of, batch_of):
-    """Counts what keys_of gives for each chunk; counts are combined within a task while they fit FLUSH keys, and go out as batch_of makes them."""
+    """Counts what keys_of gives for each chunk; counts are combined within a task while they fit FLUSH keys, and go out as batch_of makes them.
+    Two workers share an executor's memory with its JVM, so texts are hashed by the chunk and only keys are held to be counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose: list[np.ndarray] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        waiting = held = 0
         for batch in batches:
             raw, offsets = W.text_buffer(batch.column("text"))
-            for a, b in W.chunks(offsets, 4 * W.CHUNK_BYTES):
-                keys, counts = np.unique(keys_of(raw, offsets[a : b + 1]), return_counts=True)
-                parts.append((keys, counts))
-                held += len(keys)
+            for a, b in W.chunks(offsets):
+                loose.append(keys_of(raw, offsets[a : b + 1]))
+                waiting += len(loose[-1])
+                if waiting <= FLUSH // 4:
+                    continue
+                parts.append(_tally(loose))
+                waiting, held = 0, held + len(parts[-1][0])
                 if held > FLUSH:
-                    parts[:] = [_merge(parts)]
+                    parts.append(_merge(parts))
                     held = len(parts[0][0])
                     if held > FLUSH // 2:
                         yield from batch_of(*parts.pop())
                         held = 0
+            del batch, raw, offsets  # before the next one is read
+        if loose:
+            parts.append(_tally(loose))
         if parts:
             yield from batch_of(*_merge(parts))
 
@@ -227,9 +263,12 @@ def _pairs(model: Model):
     """Counted pairs, packed by block."""
 
     def run(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        block = model.block_of(keys)
+        block = np.empty(len(keys), np.int32)
+        for a in range(0, len(keys), 1 << 18):
+            block[a : a + (1 << 18)] = model.block_of(keys[a : a + (1 << 18)])
         order = np.argsort(block, kind="stable")
         keys, counts, block = keys[order], counts[order], block[order]
+        del order
         at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(keys)).tolist()
         for a in range(0, len(at) - 1, 1000):
             cuts = list(zip(at[a : a + 1000], at[a + 1 : a + 1001], strict=False))
@@ -280,7 +319,7 @@ def train(docs: DataFrame, head: int = 1 << 18, max_filter_bits: int = 1 << 29)
     masses[whole.column("bucket").to_numpy()] += whole.column("mass").to_numpy()
     masses -= np.bincount(((keys >> U(20)) & U(buckets - 1)).astype(np.int64), found + 1.0, buckets)
     model = Model(keys, found, masses, total, distinct, max(1, ceil(total / BLOCK_TOKENS)))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.bare())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys_of(raw, offsets):
@@ -291,6 +330,7 @@ def train(docs: DataFrame, head: int = 1 << 18, max_filter_bits: int = 1 << 29)
 
     seen = docs.mapInArrow(pairs, "block int, n int, pairs binary")
     blocks = materialize(seen.groupBy("block").applyInArrow(_built, "block int, bits binary, rate double, contexts array<int>, sums array<double>"), "filter")
+    sent.destroy()
     sums = blocks.select(F.explode(F.arrays_zip("contexts", "sums")).alias("x")).groupBy("x.contexts").agg(F.sum("x.sums").alias("sum")).toArrow()
     model = copy(model)
     model.sums = np.zeros(model.start + 1)
@@ -375,6 +415,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, blocks: DataFrame, p
     if parts is None:
         added = _asked(rows.select("row", "numbers"), blocks, sent)
     else:
+        sent.destroy()
         for part in parts[1:]:
             more = broadcast(part)
             one = materialize(rows.select("row", "numbers").mapInArrow(further(more), "row long, more double"), "scored-part")

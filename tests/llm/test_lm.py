@@ -1,5 +1,7 @@
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -54,6 +56,56 @@ def test_packed():
     assert all((x == y).all() for x, y in zip(lm.unpacked(lm.packed(keys, counts), 999), (keys, counts), strict=True))
 
 
+def test_merged_counts():
+    r = np.random.default_rng(7)
+    loose = [r.integers(0, 50, n) for n in (0, 1, 300, 40)]
+    want = Counter(np.concatenate(loose).tolist())
+    parts = [lm._tally(loose[:2]), lm._tally(loose[2:3]), lm._tally(loose[3:])]
+    keys, counts = lm._merge(parts)
+    assert not parts and keys.tolist() == sorted(want) and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+    none = np.zeros(0, np.int64)
+    assert all(len(x) == 0 for x in lm._merge([(none, none), (none, none)]))
+
+
+def counted(texts, monkeypatch, flush=lm.FLUSH):
+    """Counts of all texts' words, how many rows told them, and the most MB that were held meanwhile."""
+    monkeypatch.setattr(W, "_powers", [np.ones(1, W.U), np.ones(1, W.U)])
+    monkeypatch.setattr(lm, "FLUSH", flush)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    found, rows = Counter(), 0
+    for x in lm._counted(lambda raw, offsets: lm.tokens(raw, offsets)[0], lm._words)(iter([batch, batch.slice(0, 0), batch])):
+        rows += x.num_rows
+        for k, n in zip(x.column("key").to_pylist(), x.column("n").to_pylist(), strict=True):
+            found[k] += n
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return found, rows, most
+
+
+def test_counting_takes_little_memory_however_large_the_batch(monkeypatch):
+    r = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(words[i] for i in r.integers(0, 3000, 1500)) for _ in range(800)] + [None, ""]
+    found, _, most = counted(texts, monkeypatch)
+    assert most < 110
+    want = Counter(w for t in texts for w in [*(t or "").split(), None] for _ in range(2))
+    assert sorted(found.values()) == sorted(want.values())
+    often, rows, _ = counted(texts, monkeypatch, flush=5000)
+    assert often == found and rows > len(found)
+
+
+def test_what_counts_pairs_is_small_and_numbers_alike():
+    r = np.random.default_rng(9)
+    h = np.unique(r.integers(1, 1 << 63, 50_000)).astype(np.uint64)
+    m = lm.Model(h[:20_000], np.arange(20_000)[::-1], np.ones(1 << 18), 10**9, len(h), 900)
+    bare = pickle.loads(pickle.dumps(m.bare()))
+    assert len(pickle.dumps(m.bare())) < 0.3 * len(pickle.dumps(m))
+    numbers, first = m.numbers(h), np.array([0, 7, len(h)])
+    keys = m.pair_keys(numbers, first)
+    assert (bare.numbers(h) == numbers).all() and (bare.pair_keys(numbers, first) == keys).all() and (bare.block_of(keys) == m.block_of(keys)).all()
+
+
 def test_filter_holds_every_level():
     r = np.random.default_rng(1)
     keys, counts = r.integers(1, 1 << 50, 20_000), r.integers(1, 3000, 20_000)
