@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from parley.operators import transcript as T
@@ -33,3 +36,25 @@ def test_interpolation_keeps_given_times(spark):
     got = T.interpolate(w.withColumn("bound_start", F.lit(0.0)).withColumn("bound_end", F.lit(3.0))).orderBy("pos").collect()
     assert [(r.start_s, r.end_s) for r in got] == [(0.0, 1.0), (1.0, 1.5), (1.5, 2.0), (2.0, 2.5)]
     assert [r.timing_source[:5] for r in got] == ["wav2v", "inter", "inter", "wav2v"]
+
+
+def test_turns_at_times_against_every_turn(spark):
+    r = random.Random(9)
+    turns = [(c, i, s, s + r.choice((0.0, 1.0, 20.0, 90.0))) for c in range(3) for i in range(1, 60) for s in [r.randrange(5, 900) / 2]]
+    times = sorted({(c, r.randrange(0, 1000) / 2) for c in range(4) for _ in range(150)})
+    got = T.turn_at(spark.createDataFrame(times, "conv_id long, t double"), spark.createDataFrame(turns, "conv_id long, turn_id long, start_s double, end_s double"))
+    want = []
+    for c, t in times:
+        begun = [(s, i, e) for k, i, s, e in turns if k == c and s <= t]
+        want.append((c, t, min((i for s, i, e in begun if t < e), default=max(begun)[1] if begun else 0)))
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # turns and times meet in one pass over a recording
+
+
+def test_shading_looks_at_neighbours_only(spark):
+    words = "array<struct<word:string,start_s:double,end_s:double>>"
+    html = lambda rows: spark.createDataFrame([(rows,)], f"words {words}").select(T.shaded(F.col("words"), F.lit(1.0), F.lit(3.0)).alias("h")).first().h
+    assert html([("a", 0.0, 1.0), ("<b>", 0.9, 1.4), ("c", None, None), ("d", 2.0, 9.0), ("e", 3.0, 4.0)]) == 'a <span class="clip">&lt;b&gt;</span> c <span class="clip">d</span> e'
+    began = time.perf_counter()
+    assert html([("w", float(i), i + 0.5) for i in range(12_000)]).count("<span") == 1 and time.perf_counter() - began < 15  # looking at all words from each takes minutes
