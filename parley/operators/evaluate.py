@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import expressions as X
 from parley.functions import text as T
-
+from parley.functions.arrow import pieces
 
 BUCKET = 30.0
 
@@ -135,25 +135,33 @@ def speaker_mapping(matrix: DataFrame) -> DataFrame:
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.0) -> DataFrame:
-    """(file, speaker, start_s, end_s) twice, speakers already mapped -> missed, false alarm and confusion seconds by a sweep over all boundaries; half a collar around reference boundaries is left out."""
-    ev = lambda d, side: d.select("file", F.col("start_s").alias("t"), F.lit(side).alias("side"), "speaker", F.lit(1).alias("d")).unionByName(d.select("file", F.col("end_s").alias("t"), F.lit(side).alias("side"), "speaker", F.lit(-1).alias("d")))
-    events = ev(reference, "r").unionByName(ev(hypothesis, "h"))
-    edges = events.select("file", "t").distinct()
-    if collar:
-        marks = reference.select("file", F.explode(F.array("start_s", "end_s")).alias("c"))
-        edges = edges.unionByName(marks.select("file", F.explode(F.array(F.col("c") - collar / 2, F.col("c") + collar / 2)).alias("t"))).distinct()
-    segments = edges.select("file", "t", F.lead("t").over(Window.partitionBy("file").orderBy("t")).alias("u")).where("u > t")
-    if collar:
-        close = segments.join(marks, "file").where(((F.col("t") + F.col("u")) / 2 > F.col("c") - collar / 2) & ((F.col("t") + F.col("u")) / 2 < F.col("c") + collar / 2)).select("file", "t").distinct()
-        segments = segments.join(close, ["file", "t"], "left_anti")
-    at = segments.withColumn("bucket", F.floor(F.col("t") / BUCKET))
-    held = lambda d: d.select("file", "speaker", "start_s", "end_s", F.explode(F.sequence(F.floor(F.col("start_s") / BUCKET), F.floor(F.greatest("start_s", "end_s") / BUCKET))).alias("bucket"))
-    on = lambda d: at.join(held(d), ["file", "bucket"]).where((F.col("start_s") <= F.col("t")) & (F.col("end_s") >= F.col("u"))).select("file", "t", "u", "speaker").distinct()
-    both = on(reference).withColumn("r", F.lit(1)).join(on(hypothesis).withColumn("h", F.lit(1)), ["file", "t", "u", "speaker"], "full")
-    each = both.groupBy("file", "t", "u").agg(F.count("r").alias("nr"), F.count("h").alias("nh"), F.count_if(F.col("r").isNotNull() & F.col("h").isNotNull()).alias("ok"))
+    """(file, speaker, start_s, end_s) twice, speakers already mapped -> missed, false alarm and confusion seconds by a sweep over all boundaries; half a collar around reference boundaries is left out.
+
+    Each file's boundaries meet in one task, sorted and summed as they go: how often a speaker is heard on either side by then, from that how many speakers are, and in how many collars it is.
+    """
+    edge = lambda t, r, h, c: F.struct(t.cast("double").alias("t"), r.cast("int").alias("r"), h.cast("int").alias("h"), F.lit(c).alias("c"))
+    none = F.lit(0)
+
+    def edges(d: DataFrame, sides: Callable[[Column], tuple[Column, Column]], around: float) -> DataFrame:
+        held = F.coalesce((F.col("end_s") > F.col("start_s")).cast("int"), none)  # a turn without length is no one's, but its times are boundaries
+        rows = [edge(F.col("start_s"), *sides(held), 0), edge(F.col("end_s"), *sides(-held), 0)]
+        rows += [edge(F.col(t) + s * around / 2, none, none, s * -1) for t in ("start_s", "end_s") for s in (-1, 1)] if around else []
+        return d.select("file", "speaker", F.inline(F.array(*rows)))
+
+    every = edges(reference, lambda n: (n, none), collar).unionByName(edges(hypothesis, lambda n: (none, n), 0.0)).where("t IS NOT NULL")
+    own = Window.partitionBy("file", "speaker").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    each = every.repartition("file").select("file", "speaker", "t", "c", (F.sum("r").over(own) > 0).cast("int").alias("r"), (F.sum("h").over(own) > 0).cast("int").alias("h"))
+    known = F.col("speaker").isNotNull().cast("int")
+    before = Window.partitionBy("file", "speaker").orderBy("t")
+    change = lambda c: c - F.coalesce(F.lag(c).over(before), none)
+    changes = each.select("file", "t", "c", change(F.col("r")).alias("r"), change(F.col("h")).alias("h"), change(F.col("r") * F.col("h") * known).alias("ok"))
+    upto = Window.partitionBy("file").orderBy("t")
+    running = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = changes.select("file", "t", F.lead("t").over(upto).alias("u"), *[F.sum(c).over(running).alias(n) for c, n in (("r", "nr"), ("h", "nh"), ("ok", "ok"), ("c", "near"))])
+    heard = swept.where((F.col("u") > F.col("t")) & (F.col("nr") + F.col("nh") > 0) & (F.col("near") == 0))
     length = F.col("u") - F.col("t")
     total = lambda c: F.round(F.sum(length * c), 3)
-    return each.groupBy("file").agg(total(F.col("nr")).alias("spoken"), total(F.greatest(F.lit(0), F.col("nr") - F.col("nh"))).alias("missed"), total(F.greatest(F.lit(0), F.col("nh") - F.col("nr"))).alias("false_alarm"), total(F.least("nr", "nh") - F.col("ok")).alias("confusion"))
+    return heard.groupBy("file").agg(total(F.col("nr")).alias("spoken"), total(F.greatest(none, F.col("nr") - F.col("nh"))).alias("missed"), total(F.greatest(none, F.col("nh") - F.col("nr"))).alias("false_alarm"), total(F.least("nr", "nh") - F.col("ok")).alias("confusion"))
 
 
 def diarization_rates(errors: DataFrame) -> DataFrame:
@@ -194,7 +202,7 @@ def word_errors(pairs: DataFrame, normal=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = T.WORD.findall if normal is None else str.split
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, r, h in zip(*(b.column(c).to_pylist() for c in ("id", "reference", "hypothesis")), strict=True):
                 ref = words((r or "").lower())
@@ -216,7 +224,7 @@ def speaker_accuracy(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     side = lambda d, name: d.groupBy("file").agg(speaker_words(d).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for file, ref, hyp in zip(*(b.column(c).to_pylist() for c in ("file", "ref", "hyp")), strict=True):
                 r, h = ([(w, t["speaker"]) for t in side or () for w in t["words"]] for side in (ref, hyp))
@@ -273,7 +281,7 @@ def tightened(moments: DataFrame) -> DataFrame:
         return (round(max(min(since), row["start_s"]), 2), round(min(max(until), row["end_s"]), 2)) if since and until else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [span(r) or (None, None) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], ["id", "start_s", "end_s"])
 
@@ -284,7 +292,7 @@ def aligned(pairs: DataFrame) -> DataFrame:
     """pairs(id, reference, hypothesis) -> the number of aligned tokens and the share of the reference that they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, r, h in zip(*(b.column(c).to_pylist() for c in ("id", "reference", "hypothesis")), strict=True):
                 ref = T.WORD.findall((r or "").lower())

@@ -34,6 +34,30 @@ def test_diarization_error(spark):
     assert E.diarization_error(ref, hyp, collar=0.5).first().confusion == 1.75
 
 
+def plain_errors(ref, hyp, collar):
+    """Seconds by trying every stretch between two boundaries against every turn."""
+    marks = [t for x in ref for t in x[1:]] if collar else []
+    times = sorted({t for x in ref + hyp for t in x[1:]} | {c + s * collar / 2 for c in marks for s in (-1, 1)})
+    out = [0.0] * 4
+    for t, u in zip(times, times[1:]):
+        if any(c - collar / 2 < (t + u) / 2 < c + collar / 2 for c in marks):
+            continue
+        r, h = ({x[0] for x in side if x[1] <= t and x[2] >= u} for side in (ref, hyp))
+        out = [a + (u - t) * n for a, n in zip(out, (len(r), max(0, len(r) - len(h)), max(0, len(h) - len(r)), min(len(r), len(h)) - len(r & h)), strict=True)]
+    return tuple(round(x, 3) for x in out)
+
+
+def test_diarization_error_against_every_turn(spark):
+    r = random.Random(4)
+    one = lambda: [(r.choice("ABC"), s / 4, (s + r.choice((0, 0, 1, 5, 40, 300))) / 4) for s in r.choices(range(400), k=25)]
+    files = {f: (one(), one()) for f in range(6)}
+    table = lambda side: spark.createDataFrame([(f, *x) for f, both in files.items() for x in both[side]], "file long, speaker string, start_s double, end_s double")
+    for collar in (0.0, 0.25, 3.0):
+        found = E.diarization_error(table(0), table(1), collar)
+        assert {x.file: (x.spoken, x.missed, x.false_alarm, x.confusion) for x in found.collect()} == {f: plain_errors(*both, collar) for f, both in files.items()}
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # joins and their sorts hold a task's memory together
+
+
 def test_mapping_and_bootstrap(spark):
     m = spark.createDataFrame([("f", "S0", "Al", 9.0), ("f", "S0", "Bo", 8.0), ("f", "S1", "Al", 8.5), ("f", "S1", "Bo", 1.0)], "file string, speaker string, other string, seconds double")
     assert {r.speaker: r.mapped for r in E.speaker_mapping(m).collect()} == {"S0": "Bo", "S1": "Al"}
