@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.arrow import pieces
+
 MOST_WORDS, MOST_SECONDS, LEAST_PAUSE, LEAST_WORDS = 30, 15.0, 0.4, 4
 WINDOW_SECONDS, STRETCH = 30.0, 4 / 3
 # Signs that may follow a sentence end, and abbreviations that aren't one.
@@ -102,25 +104,27 @@ def _of(row: list[dict]) -> Timed:
     return Timed([w["word"] for w in row], [w["start_s"] for w in row], [w["end_s"] for w in row])
 
 
-def sentences(words: DataFrame) -> DataFrame:
-    """words(conv_id, turn, role, pos, word, start_s, end_s) -> sentences(conv_id, turn, role, sentence, start_s, end_s, n_words, text) by all three passes."""
+def sentences(words: DataFrame, worded: bool = False) -> DataFrame:
+    """words(conv_id, turn, role, pos, word, start_s, end_s) -> sentences(conv_id, turn, role, sentence, start_s, end_s, n_words, text, and, if worded, words array<struct<word,start_s,end_s>>) by all three passes."""
+    fields = SENTENCE + [WORDS] if worded else SENTENCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for r in batch.to_pylist():
                 t = _of(r["w"])
-                rows += [(r["conv_id"], r["turn"], r["role"], k, t.start[a], t.end[b - 1], b - a, " ".join(t.word[a:b])) for k, (a, b) in enumerate(sentence_spans(t))]
-            yield _batch(rows, SENTENCE)
+                for k, (a, b) in enumerate(sentence_spans(t)):
+                    rows.append((r["conv_id"], r["turn"], r["role"], k, t.start[a], t.end[b - 1], b - a, " ".join(t.word[a:b]), [{"word": w, "start_s": s, "end_s": e} for w, s, e in zip(t.word[a:b], t.start[a:b], t.end[a:b], strict=True)] if worded else None))
+            yield _batch(rows, fields)
 
-    return _turns(words).mapInArrow(run, _ddl(SENTENCE))
+    return _turns(words).mapInArrow(run, _ddl(fields))
 
 
 def chunks(words: DataFrame) -> DataFrame:
     """words -> windows(conv_id, turn, role, window, start_s, end_s, sentences, text) of about 30 s within one turn, with the positions of their sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for r in batch.to_pylist():
                 t = _of(r["w"])
@@ -136,6 +140,7 @@ def chunks(words: DataFrame) -> DataFrame:
 _KEY = [("conv_id", pa.int64(), "long"), ("turn", pa.int64(), "long"), ("role", pa.string(), "string")]
 _TIME = [("start_s", pa.float64(), "double"), ("end_s", pa.float64(), "double")]
 SENTENCE = [*_KEY, ("sentence", pa.int64(), "long"), *_TIME, ("n_words", pa.int64(), "long"), ("text", pa.string(), "string")]
+WORDS = ("words", pa.list_(pa.struct([("word", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64())])), "array<struct<word:string,start_s:double,end_s:double>>")
 CHUNK = [*_KEY, ("window", pa.int64(), "long"), *_TIME, ("sentences", pa.list_(pa.int64()), "array<long>"), ("text", pa.string(), "string")]
 
 
